@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+from .mixing import op9_mixing
 from .topk_search import OP1_SQL, op1_topk
+from .url_filter import op2_sql, op2_url_filter
 
-QUERIES = {"op1_topk": op1_topk}
-SQL = {"op1_topk": OP1_SQL}
+QUERIES = {
+    "op1_topk": op1_topk,
+    "op2_url_filter": op2_url_filter,
+    "op9_mixing": op9_mixing,
+}
+SQL = {"op1_topk": OP1_SQL, "op2_url_filter": op2_sql()}
