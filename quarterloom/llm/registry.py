@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from .decontaminate import OP10_SQL, op10_decontaminate
 from .mixing import op9_mixing
+from .simhash import op7_simhash
+from .substring_dedup import OP3_SQL, op3_substring
 from .topk_search import OP1_SQL, op1_topk
 from .url_filter import op2_sql, op2_url_filter
 
 QUERIES = {
     "op1_topk": op1_topk,
     "op2_url_filter": op2_url_filter,
+    "op3_substring": op3_substring,
+    "op7_simhash": op7_simhash,
     "op9_mixing": op9_mixing,
+    "op10_decontaminate": op10_decontaminate,
 }
-SQL = {"op1_topk": OP1_SQL, "op2_url_filter": op2_sql()}
+SQL = {"op1_topk": OP1_SQL, "op2_url_filter": op2_sql(), "op3_substring": OP3_SQL, "op10_decontaminate": OP10_SQL}
