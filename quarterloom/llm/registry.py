@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat_format import OP4_SQL, op4_chat_format
 from .decontaminate import OP10_SQL, op10_decontaminate
 from .mixing import op9_mixing
 from .simhash import op7_simhash
@@ -13,8 +14,9 @@ QUERIES = {
     "op1_topk": op1_topk,
     "op2_url_filter": op2_url_filter,
     "op3_substring": op3_substring,
+    "op4_chat_format": op4_chat_format,
     "op7_simhash": op7_simhash,
     "op9_mixing": op9_mixing,
     "op10_decontaminate": op10_decontaminate,
 }
-SQL = {"op1_topk": OP1_SQL, "op2_url_filter": op2_sql(), "op3_substring": OP3_SQL, "op10_decontaminate": OP10_SQL}
+SQL = {"op1_topk": OP1_SQL, "op2_url_filter": op2_sql(), "op3_substring": OP3_SQL, "op4_chat_format": OP4_SQL, "op10_decontaminate": OP10_SQL}
