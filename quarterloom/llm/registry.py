@@ -7,6 +7,7 @@ from .decontaminate import OP10_SQL, op10_decontaminate
 from .mixing import op9_mixing
 from .simhash import op7_simhash
 from .substring_dedup import OP3_SQL, op3_substring
+from .token_files import op8_token_ids
 from .topk_search import OP1_SQL, op1_topk
 from .url_filter import op2_sql, op2_url_filter
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_substring": op3_substring,
     "op4_chat_format": op4_chat_format,
     "op7_simhash": op7_simhash,
+    "op8_token_ids": op8_token_ids,
     "op9_mixing": op9_mixing,
     "op10_decontaminate": op10_decontaminate,
 }
