@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from .chat_format import OP4_SQL, op4_chat_format
 from .decontaminate import OP10_SQL, op10_decontaminate
+from .html_extract import op5_html_text
 from .mixing import op9_mixing
 from .simhash import op7_simhash
 from .substring_dedup import OP3_SQL, op3_substring
 from .token_files import op8_token_ids
 from .topk_search import OP1_SQL, op1_topk
+from .toxicity import op6_toxicity
 from .url_filter import op2_sql, op2_url_filter
 
 QUERIES = {
@@ -16,6 +18,8 @@ QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op3_substring": op3_substring,
     "op4_chat_format": op4_chat_format,
+    "op5_html_text": op5_html_text,
+    "op6_toxicity": op6_toxicity,
     "op7_simhash": op7_simhash,
     "op8_token_ids": op8_token_ids,
     "op9_mixing": op9_mixing,
