@@ -45,25 +45,54 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     if n == 1:
         return h(b" ".join(words), SEED)
     grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
-    hashes = np.fromiter((h(g, SEED) for g in grams), dtype=np.uint64, count=n)
-    ones = np.zeros(64, dtype=np.int64)
+    return majority(np.fromiter((h(g, SEED) for g in grams), dtype=np.uint64, count=n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes."""
+    ones, n = np.zeros(64, dtype=np.int64), len(hashes)
     for lo in range(0, n, 32768):
         bits = np.unpackbits(hashes[lo : lo + 32768].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int32)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def with_fingerprint(docs: DataFrame, text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """Replace the text by ``fp`` (the fingerprint as a signed long); other columns stay."""
-    keep = [f for f in docs.schema.fields if f.name not in (text_col, "fp")]
+def signatures(text: str | None, shingle: int) -> tuple[int, int, int]:
+    """(fingerprint of the distinct words, two of the shingles under different hashes).
+
+    Copies with a few edits keep most of their words, so the first finds candidates at
+    small distances; the 128 bits of the others measure the likeness of their shingles.
+    """
+    words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
+    if not words:
+        return 0, 0, 0
+    h = xxhash.xxh64_intdigest
+    own = set(words)
+    first = majority(np.fromiter((h(w, SEED) for w in own), dtype=np.uint64, count=len(own)))
+    n = max(len(words) - shingle + 1, 1)
+    grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if n > 1 else [b" ".join(words)]
+    x = np.fromiter((h(g, SEED) for g in grams), dtype=np.uint64, count=n)
+    y = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return first, majority(x), majority(y ^ (y >> np.uint64(29)))
+
+
+def _with(docs: DataFrame, text_col: str, names: list[str], make) -> DataFrame:
+    """Replace the text by long columns, the unsigned numbers that ``make`` gives; others stay."""
+    keep = [f.name for f in docs.schema.fields if f.name not in (text_col, *names)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t.as_py(), shingle) for t in b.column(b.schema.get_field_index("__text"))], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(keep))] + [pa.array(fp.view(np.int64))], names=[f.name for f in keep] + ["fp"])
+            made = np.array([make(t.as_py()) for t in b.column(len(keep))], dtype=np.uint64).reshape(-1, len(names))
+            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(keep))] + [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in made.T], names=keep + names)
+
+    cols = [F.col(f"`{c}`") for c in keep]
+    schema = docs.select(*cols, *[F.lit(0).cast("long").alias(c) for c in names]).schema
+    return docs.select(*cols, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+
 
-    schema = docs.select(*[F.col(f"`{f.name}`") for f in keep], F.lit(0).cast("long").alias("fp")).schema
-    return docs.select(*[F.col(f"`{f.name}`") for f in keep], F.col(text_col).alias("__text")).mapInArrow(run, schema)
+def with_fingerprint(docs: DataFrame, text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """Replace the text by ``fp`` (the fingerprint as a signed long); other columns stay."""
+    return _with(docs, text_col, ["fp"], lambda t: fingerprint(t, shingle))
 
 
 def bit_counts(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -138,7 +167,7 @@ def _value(bits: list[int]):
     return out
 
 
-def plan_partitions(fps: DataFrame, tau: int, choices: tuple[int, ...] = (1, 2, 3, 4)) -> list[tuple[list[int], int]]:
+def plan_partitions(fps: DataFrame, tau: int, choices: tuple[int, ...] = (1, 2, 3, 4, 5, 6)) -> list[tuple[list[int], int]]:
     """(bits, threshold) of the partitions to use, by estimated cost over all fingerprints."""
     n, both = bit_counts(fps)
     p = np.diag(both) / max(n, 1)
@@ -197,76 +226,85 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[far], nodes[label[far]]
 
 
-def cell_links(cell: np.ndarray, tag: np.ndarray, fp: np.ndarray, tau: int) -> tuple[np.ndarray, np.ndarray]:
+def cell_links(cell: np.ndarray, tag: np.ndarray, node: np.ndarray, words: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray]:
     """Links inside cells: rows arrive sorted by cell.
 
+    Two rows link if their ``words`` (64-bit columns) differ in at most ``most`` bits in all.
     ``tag % 4`` is 1 for a stored value and 2 for a probe, which only meets stored
     ones; ``tag // 4`` names a row's block in a cell of two blocks, where rows of one
     block don't meet.
     """
-    n, side, group, bits = len(fp), tag % 4, tag // 4, fp.view(np.uint64)
-    us, vs = [], []
+    n, side, group = len(node), tag % 4, tag // 4
+    bits = [w.view(np.uint64) for w in words]
+    us, vs, held = [], [], 0
     starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if n else np.zeros(0, int)
     length = np.diff(np.append(starts, n))
     end = np.repeat(starts + length, length)
     at = np.arange(n)
     for d in range(1, int(length.max(initial=1))):
-        i = at[at + d < end[at]]
-        if not len(i):
+        at = at[at + d < end[at]]
+        if not len(at):
             break
-        at = i
-        g = group[i]
-        i = i[((side[i] | side[i + d]) != 2) & ((g == 0) | (g != group[i + d]))]
-        near = np.bitwise_count(bits[i] ^ bits[i + d]) <= tau
-        us.append(fp[i[near]])
-        vs.append(fp[i[near] + d])
-        if sum(map(len, us[-64:])) > 200_000:
-            f = _forest(np.concatenate(us), np.concatenate(vs))
-            us, vs = [f[0]], [f[1]]
-    if not us:
-        return np.zeros(0, fp.dtype), np.zeros(0, fp.dtype)
-    u, v = np.concatenate(us), np.concatenate(vs)
-    return _forest(u, v) if len(u) else (u, v)
-
-
-def links(fps: DataFrame, tau: int = 3) -> DataFrame:
-    """``u, v``: links among distinct fingerprints that give the same components as all links."""
-    plan = plan_partitions(fps, tau)
+        g = group[at]
+        i = at[((side[at] | side[at + d]) != 2) & ((g == 0) | (g != group[at + d]))]
+        i = i[sum(np.bitwise_count(w[i] ^ w[i + d]) for w in bits) <= most]
+        us.append(node[i])
+        vs.append(node[i + d])
+        held += len(i)
+        if held > 500_000:
+            u, v = _forest(np.concatenate(us), np.concatenate(vs))
+            us, vs, held = [u], [v], len(u)
+    if not held:
+        return np.zeros(0, node.dtype), np.zeros(0, node.dtype)
+    return _forest(np.concatenate(us), np.concatenate(vs))
+
+
+def links(fps: DataFrame, tau: int = 3, compare: tuple[str, ...] = ("fp",), most: int | None = None) -> DataFrame:
+    """``u, v``: links among nodes that give the same components as all links.
+
+    ``fps`` has ``node``, ``fp`` and the columns to ``compare``. Every two nodes whose fp
+    differ in at most ``tau`` bits are compared; they link if the ``compare`` columns
+    differ in at most ``most`` bits (else ``tau``).
+    """
+    most = tau if most is None else most
     parts = []
-    for k, (bits, t) in enumerate(plan):
+    for k, (bits, t) in enumerate(plan_partitions(fps, tau)):
         v = _value(bits)
         parts.append(F.array(F.struct(F.lit(k).alias("k"), v.alias("v"), F.lit(1).alias("side"))))
         if t:
             flips = F.array(*[F.lit(x).cast("long") for x in _flips(len(bits), t)])
             # a pair that differs here meets from either end; one end will do
-            probes = F.filter(F.transform(flips, lambda f: v.bitwiseXOR(f)), lambda x: x > v)
-            parts.append(F.transform(probes, lambda x: F.struct(F.lit(k).alias("k"), x.alias("v"), F.lit(2).alias("side"))))
-    rows = fps.select("fp", F.explode(F.concat(*parts)).alias("c")).select("fp", "c.k", "c.v", "c.side")
+            probes = F.filter(F.transform(flips, lambda f, v=v: v.bitwiseXOR(f)), lambda x, v=v: x > v)
+            parts.append(F.transform(probes, lambda x, k=k: F.struct(F.lit(k).alias("k"), x.alias("v"), F.lit(2).alias("side"))))
+    rows = fps.select("node", *compare, F.explode(F.concat(*parts)).alias("c")).select("node", *compare, "c.k", "c.v", "c.side")
     size = rows.groupBy("k", "v").agg(F.count("*").alias("n"), F.max(F.when(F.col("side") == 1, 1).otherwise(0)).alias("own"))
     size = size.where("n > 1 and own = 1").select(F.col("k").alias("s_k"), F.col("v").alias("s_v"), "n")
     met = rows.join(size, (F.col("k") == F.col("s_k")) & (F.col("v") == F.col("s_v")))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("fp"), blocks).cast("int")
-    met = met.select("k", "v", "side", "fp", mine.alias("a"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("b"))
+    mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    met = met.select("k", "v", "side", "node", *compare, mine.alias("a"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("b"))
     group = F.when(F.col("a") == F.col("b"), 0).when(F.col("a") < F.col("b"), 1).otherwise(2)
-    met = met.select(F.xxhash64("k", "v", F.least("a", "b"), F.greatest("a", "b")).alias("cell"), (F.col("side") + group * 4).alias("tag"), "fp")
+    met = met.select(F.xxhash64("k", "v", F.least("a", "b"), F.greatest("a", "b")).alias("cell"), (F.col("side") + group * 4).alias("tag"), "node", *compare)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
+        rest: list[np.ndarray] | None = None
+
+        def found(rows: list[np.ndarray]) -> pa.RecordBatch:
+            u, v = cell_links(rows[0], rows[1], rows[2], rows[3:], most)
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
         for b in batches:
-            now = [b.column(i).to_numpy() for i in range(3)]
+            now = [c.to_numpy() for c in b.columns]
             if rest is not None:
                 now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
             cut = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
             rest = [x[cut:] for x in now]
             if cut:
-                u, v = cell_links(now[0][:cut], now[1][:cut], now[2][:cut], tau)
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+                yield found([x[:cut] for x in now])
         if rest is not None and len(rest[0]):
-            u, v = cell_links(*rest, tau)
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+            yield found(rest)
 
-    dealt = met.repartition("cell").sortWithinPartitions("cell", "fp")
+    dealt = met.repartition("cell").sortWithinPartitions("cell")
     return dealt.mapInArrow(run, "u long, v long").distinct()
 
 
@@ -310,13 +348,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty table gives none.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
-    d = materialize(with_fingerprint(d, "text", shingle), "simhash")
-    fps = materialize(d.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-fps")
-    roots = materialize(components(links(fps, tau)), "simhash-roots")
-    r = fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
+    d = materialize(with_fingerprint(d, "text", shingle), "simhash").withColumn("node", F.col("fp"))
+    return _components_of(d, links(_distinct(d, ["fp"]), tau)).select("doc_id", "key", "fp", "component_id")
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, tau: int = 7) -> DataFrame:
+    """``doc_id, key, component_id`` for near copies by the likeness of their shingles.
+
+    For copies with a few edits: candidates are documents whose fingerprints of distinct
+    words differ in at most ``tau`` bits (and some beyond); they link if 128 SimHash bits of their
+    shingles differ in no more than sets of the given Jaccard ``similarity`` do on average
+    plus 1.4 standard deviations. Cases as in ``near_duplicates``.
+    """
+    angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    most = int(128 * angle + 1.4 * math.sqrt(128 * angle * (1 - angle)))
+    d = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    d = _with(d, "text", ["fp", "s0", "s1"], lambda t: signatures(t, shingle)).withColumn("node", F.xxhash64("fp", "s0", "s1"))
+    d = materialize(d, "simhash")
+    return _components_of(d, links(_distinct(d, ["fp", "s0", "s1"]), tau, ("s0", "s1"), most)).select("doc_id", "key", "component_id")
+
+
+def _distinct(d: DataFrame, cols: list[str]) -> DataFrame:
+    return materialize(d.groupBy("node").agg(*[F.first(c).alias(c) for c in cols]), "simhash-nodes")
+
+
+def _components_of(d: DataFrame, found: DataFrame) -> DataFrame:
+    """Add ``component_id``, the least doc_id of each node's component."""
+    roots = materialize(components(found).select(F.col("node").alias("r_node"), "root"), "simhash-roots")
+    firsts = d.groupBy("node").agg(F.min("doc_id").alias("first"))
+    r = firsts.join(roots, F.col("node") == F.col("r_node"), "left").select("node", F.coalesce("root", "node").alias("root"), "first")
+    r = materialize(r, "simhash-members")
     least = r.groupBy("root").agg(F.min("first").alias("component_id")).withColumnRenamed("root", "l_root")
-    named = r.join(least, F.col("root") == F.col("l_root")).select(F.col("fp").alias("n_fp"), "component_id")
-    return d.join(named, F.col("fp") == F.col("n_fp")).select("doc_id", "key", "fp", "component_id")
+    named = r.join(least, F.col("root") == F.col("l_root")).select(F.col("node").alias("n_node"), "component_id")
+    return d.join(named, F.col("node") == F.col("n_node"))
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
