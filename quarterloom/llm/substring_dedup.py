@@ -213,10 +213,10 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> D
     ends = reaches.join(ends, "h")
     wanted = ends.groupBy("doc_id", "key").agg(F.collect_list(F.struct("h", "n", "pack")).alias("wanted"))
     wanted = wanted.withColumnsRenamed({"doc_id": "w_doc_id", "key": "w_key"})
-    # of repeated identical rows one is enough: the counts come with the reaches
+    # rows repeated in full give their windows twice, but then these count over 1 by their reach alone
     texts = docs.join(wanted, (F.col("key") == F.col("w_key")) & F.col("doc_id").eqNullSafe(F.col("w_doc_id")))
     windows = texts.select(*keyed, "text", "wanted").mapInArrow(_window_rows(window), f"doc_id {ident}, key long, h long, w long, start long, n long")
-    windows = materialize(windows.distinct(), "sub-windows")
+    windows = materialize(windows, "sub-windows")
     twice = windows.groupBy("h", "w").agg(F.sum("n").alias("n")).where("n > 1").select("h", "w")
     single = windows.where("n = 1").join(twice, ["h", "w"], "left_semi").select(*keyed, (F.col("start") * 64).alias("pack"))
     full = anchors.join(reaches.where("n > 1").select("h", "reach"), ["h", "reach"], "left_semi").select(*keyed, "pack")
