@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -54,7 +54,13 @@ def impute_features(rows: DataFrame, n_factors: int = 10, by: tuple[str, ...] =
             pdf = pdf.assign(features=list(fill_by_factors(data, n_factors).astype(np.float32)))
         return pdf
 
-    return rows.groupBy(*by).applyInPandas(run, rows.schema)
+    # a null inside an array comes back from Arrow as NaN
+    done = rows.groupBy(*by).applyInPandas(run, rows.schema)
+    return done.withColumn("features", _null_for_nan(F.col("features")))
+
+
+def _null_for_nan(arr: Column) -> Column:
+    return F.transform(arr, lambda x: F.when(~F.isnan(x), x))
 
 
 def impute_cells(cells: DataFrame, items: list[str], levels: int, yoy: int, n_factors: int = 10) -> DataFrame:
@@ -73,5 +79,5 @@ def impute_cells(cells: DataFrame, items: list[str], levels: int, yoy: int, n_fa
     wide = g.select("firm", "qord", "split", F.concat(*parts).alias("features"), F.transform(F.array(*[F.lit(i) for i in items]), lambda i: F.try_element_at("m", i)["target"]).alias("targets"))
     filled = impute_features(wide, n_factors)
     width = levels + yoy
-    at = F.array(*[F.struct(F.lit(i).alias("item"), F.slice("features", n * width + 1, levels).alias("level"), F.slice("features", n * width + levels + 1, yoy).alias("yoy"), F.get("targets", F.lit(n)).alias("target")) for n, i in enumerate(items)])
+    at = F.array(*[F.struct(F.lit(i).alias("item"), F.slice("features", n * width + 1, levels).alias("level"), F.slice("features", n * width + levels + 1, yoy).alias("yoy"), _null_for_nan(F.get("targets", F.lit(n))).alias("target")) for n, i in enumerate(items)])
     return filled.select("firm", "qord", "split", F.explode(at).alias("c")).select("firm", "qord", "split", "c.*")

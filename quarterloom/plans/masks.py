@@ -26,7 +26,7 @@ def pack(cells: DataFrame, total: int) -> np.ndarray:
 
     Bytes are built by executors; the driver gets one row a byte that isn't zero.
     """
-    one = F.shiftleft(F.lit(1), (7 - F.pmod("cell", F.lit(8))).cast("int"))
+    one = F.call_function("shiftleft", F.lit(1), (7 - F.pmod("cell", F.lit(8))).cast("int"))
     per = cells.distinct().groupBy(F.floor(F.col("cell") / 8).alias("byte")).agg(F.sum(one).alias("v"))
     out = np.zeros((total + 7) // 8, dtype=np.uint8)
     for r in per.toLocalIterator():
@@ -47,7 +47,7 @@ def unpack(spark: SparkSession, bits: np.ndarray, total: int) -> DataFrame:
     df = spark.createDataFrame(parts, "at long, bits binary")
     byte = df.select("at", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("bits")), lambda i: F.conv(F.hex(F.substr("bits", i, F.lit(1))), 16, 10).cast("int"))).alias("i", "v"))
     bit = byte.where("v > 0").select(((F.col("at") + F.col("i")) * 8).alias("first"), "v", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("b"))
-    on = F.col("v").bitwiseAND(F.shiftleft(F.lit(1), 7 - F.col("b"))) > 0
+    on = F.col("v").bitwiseAND(F.call_function("shiftleft", F.lit(1), 7 - F.col("b"))) > 0
     return bit.where(on).select((F.col("first") + F.col("b")).alias("cell")).where(F.col("cell") < total)
 
 
