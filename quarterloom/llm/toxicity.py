@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -39,7 +40,7 @@ QUOTED, REPORTED = 0.3, 0.6
 OPENING, CLOSING = "\"'“‘«„‹", "\"'”’»“›"
 REPORTING = frozenset("said says wrote writes called quoted quote word term insult dit écrit dijo escribió sagte schrieb".split())
 LEET = str.maketrans("013457@$!", "oieastasi")
-CACHE = 600_000
+CACHE = 250_000
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _INNER = re.compile(r"[\W_]+")
 
@@ -213,15 +214,31 @@ def context(pieces: list[str], i: int) -> float:
 def training_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``text, toxic`` of at most SAMPLE_TOXIC and SAMPLE_CLEAN labelled rows, by hash.
 
-    Only ids whose crc32 modulo 5 isn't 0. An id labelled more than once is toxic if
+    Only ids whose crc32 modulo 5 isn't 0. Exact copies count once, near copies mostly do. An id labelled more than once is toxic if
     any of its labels is.
     """
     usable = labels.where("doc_id is not null and toxic is not null").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
     y = usable.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic")).withColumn("h", F.xxhash64("doc_id", F.lit(6)))
     some = y.where("toxic = 1").orderBy("h", "doc_id").limit(SAMPLE_TOXIC).union(y.where("toxic = 0").orderBy("h", "doc_id").limit(SAMPLE_CLEAN))
-    some = some.select(F.col("doc_id").alias("y_id"), "toxic")
-    # at most SAMPLE_TOXIC + SAMPLE_CLEAN rows of two numbers
-    return docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("y_id")).select("text", "toxic")
+    some = some.select(F.col("doc_id").alias("y_id"), "toxic", "h")
+    # at most SAMPLE_TOXIC + SAMPLE_CLEAN rows of three numbers
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("y_id")).select("text", "toxic", "h")
+    rows = rows.mapInArrow(_sketches, "text string, toxic int, h long, m1 long, m2 long")
+    # copies would make chance words look like terms: of rows with an equal sketch one stays
+    for m in ("m1", "m2"):
+        rows = rows.groupBy(m).agg(F.min_by(F.struct("text", "toxic", "h", "m2"), F.struct("h", "toxic")).alias("r")).select("r.*")
+    return rows.select("text", "toxic")
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add the least hashes of a text's five-word shingles under two orders."""
+    for b in batches:
+        m = []
+        for text in b.column(0).to_pylist():
+            w = (text or "").split()
+            x = np.fromiter((zlib.crc32(" ".join(w[i : i + 5]).encode("utf-8", "surrogatepass")) for i in range(max(1, len(w) - 4))), dtype=np.int64)
+            m.append((int(x.min()), int((x * 2654435761 % 4294967291).min())))
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array([a for a, _ in m], pa.int64()), pa.array([c for _, c in m], pa.int64())], names=["text", "toxic", "h", "m1", "m2"])
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
