@@ -18,15 +18,19 @@ writes a file of another name and the index, committed by Spark, names the files
 from __future__ import annotations
 
 import hashlib
+import os
 import posixpath
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -42,15 +46,14 @@ SAMPLE_DOCS = 2000
 DICT_BYTES = 64 * 1024
 LEVEL = 3
 #: Pieces of text whose ids a worker remembers.
-CACHE = 400_000
+CACHE = 800_000
+#: Documents that are encoded at once.
+ENCODED = 2000
 END_ID = 0
-
-
-@lru_cache(maxsize=4)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
+#: How a byte-level vocabulary writes a space.
+SPACE = "\u0120"
+#: Pieces that may be encoded next to each other: a space at most, then visible ASCII or U+00C0..U+00FF.
+_PLAIN = re.compile(r" ?[!-~\u00C0-\u00FF]+")
 
 
 def default_tokenizer() -> str:
@@ -59,57 +62,152 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _byte_kinds() -> np.ndarray:
+    kinds = np.zeros(256, dtype=np.uint8)
+    kinds[33:127] = _GRAPHIC
+    kinds[[*range(33, 39), *range(40, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = _MARK
+    kinds[[*range(65, 91), *range(97, 123)]] = _LETTER
+    kinds[32], kinds[10], kinds[0xC3] = _SPACE, _LINE, _LEAD
+    kinds[0x80:0xC0] = _TAIL
+    kinds[[0x97, 0xB7]] = 0
+    return kinds
+
+
+_GRAPHIC, _MARK, _LETTER, _SPACE, _LINE, _LEAD, _TAIL = range(1, 8)
+
+
+def chunks_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(pieces of all texts in order, number of the text each belongs to).
+
+    Cuts are where a byte-level BPE starts a pre-token in any context: before a space that
+    a visible character follows; between a letter and an ASCII mark (other than the
+    apostrophe, which may begin a contraction); around a single line feed between visible
+    characters. Visible characters and letters here are ASCII and U+00C0..U+00FF; near
+    others there is no cut, so their pieces are longer.
+    """
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    lo, hi = int(offsets[0]), int(offsets[-1])
+    data = np.frombuffer(texts.buffers()[2], dtype=np.uint8)[lo:hi] if hi > lo else np.zeros(0, np.uint8)
+    first = (offsets - lo).astype(np.int64)
+    kind = _byte_kinds()[data]
+    visible = ((kind >= _GRAPHIC) & (kind <= _LETTER)) | (kind == _LEAD)  # as a first byte
+    letter = kind == _LETTER
+    if len(data):
+        letter[1:] |= (kind[1:] == _TAIL) & (data[:-1] == 0xC3)
+    seen = ((kind >= _GRAPHIC) & (kind <= _LETTER)) | letter  # as a last byte
+    after, before = np.append(visible[1:], False), np.append(False, seen[:-1])
+    inner = first[(first > 0) & (first < len(data))]
+    after[inner - 1] = False
+    before[inner] = False
+    cut = (kind == _SPACE) & after
+    cut[1:] |= letter[:-1] & (kind[1:] == _MARK)
+    line = (kind == _LINE) & before & after
+    cut |= line
+    cut[1:] |= line[:-1]
+    cut[inner] = True
+    if len(data):
+        cut[0] = True
+    at = np.flatnonzero(cut)
+    own = np.searchsorted(first, at, side="right") - 1
+    ends = np.append(at, len(data)).astype(np.int32)
+    return pa.StringArray.from_buffers(len(at), pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes())), own
+
+
 class Encoder:
-    """The tokenizer, with the ids of frequent pieces remembered.
+    """The tokenizer, with the ids of pieces it has met remembered.
 
-    A text is cut before each single space that a character other than white space
-    follows. A byte-level BPE starts a pre-token there whatever surrounds it, so the
-    pieces' ids, joined, are the text's.
+    Texts are cut where pre-tokens begin in any context (``chunks_of``), so the pieces'
+    ids, joined, are the text's. Arrow finds the distinct pieces, Python looks those up,
+    new ones are encoded many to a string, and numpy lays out the ids.
     """
 
     def __init__(self, path: str) -> None:
-        self.tok = _tokenizer(path)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.tok.get_vocab_size() <= 65536 else np.dtype("<u4")
-        pre = type(self.tok.pre_tokenizer).__name__
-        self.by_piece = pre == "ByteLevel" and self.tok.normalizer is None
+        self.begins = np.zeros(self.tok.get_vocab_size(), dtype=bool)
+        for token, i in self.tok.get_vocab().items():
+            self.begins[i] = token.startswith(SPACE)
+        self.tokens = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.seen: dict[str, bytes] = {}
-
-    def _pieces(self, text: str) -> list[str]:
-        out = text.split(" ")
-        for i in range(1, len(out)):
-            if not out[i] or out[i][0].isspace():
-                break
-        else:
-            return out
-        merged = [out[0]]
-        for p in out[1:]:
-            if not p or p[0].isspace():
-                merged[-1] += " " + p
+        self.line = np.array(self._ids(["\n"])[0], dtype=self.dtype)
+        self.by_piece = type(self.tok.pre_tokenizer).__name__ == "ByteLevel" and self.tok.normalizer is None and len(self.line) == 1
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_many(self, pieces: list[str], space: bool) -> None:
+        """Remember pieces of visible characters that all begin with a space, or that all don't."""
+        width = self.dtype.itemsize
+        for lo in range(0, len(pieces), 8192):
+            part = pieces[lo : lo + 8192]
+            strings = [("" if space else "\n").join(part[k : k + 64]) + ("" if space else "\n") for k in range(0, len(part), 64)]
+            ids = np.array(list(chain.from_iterable(self._ids(strings))), dtype=self.dtype)
+            if space:
+                first = np.flatnonzero(self.begins[ids])
+                last = np.append(first[1:], len(ids))
             else:
-                merged.append(p)
-        return merged
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, END_ID last."""
+                last = np.flatnonzero(ids == self.line[0])
+                first = np.append(0, last + 1)[:-1]
+            if len(first) != len(part):
+                self._learn_each(part)
+                continue
+            raw = ids.tobytes()
+            self.seen.update(zip(part, map(raw.__getitem__, map(slice, (first * width).tolist(), (last * width).tolist())), strict=True))
+
+    def _learn_each(self, pieces: list[str]) -> None:
+        for p, x in zip(pieces, self._ids(pieces), strict=True):
+            self.seen[p] = np.array(x, dtype=self.dtype).tobytes()
+
+    def _known(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces."""
+        if len(self.seen) > CACHE:
+            self.seen.clear()
+        got = list(map(self.seen.get, pieces))
+        if None in got:
+            new = [p for p, x in zip(pieces, got, strict=True) if x is None]
+            odd = [p for p in new if not _PLAIN.fullmatch(p)]
+            self._learn_many([p for p in new if p[0] == " " and _PLAIN.fullmatch(p)], True)
+            self._learn_many([p for p in new if p[0] != " " and _PLAIN.fullmatch(p)], False)
+            self._learn_each(odd)
+            got = list(map(self.seen.__getitem__, pieces))
+        return got
+
+    def encode(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each ended by END_ID; how many each text has)."""
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
         if not self.by_piece:
-            return [np.array([*e.ids, END_ID], dtype=self.dtype) for e in self.tok.encode_batch(texts, add_special_tokens=False)]
-        cut = [self._pieces(t) for t in texts]
-        seen = self.seen
-        if len(seen) > CACHE:
-            seen.clear()
-        # a text's first piece has no space before it; it is told apart by a mark
-        new = list({p for c in cut for p in c[1:]}.difference(seen))
-        for lo in range(0, len(new), 20000):
-            part = new[lo : lo + 20000]
-            for p, e in zip(part, self.tok.encode_batch([" " + p for p in part], add_special_tokens=False), strict=True):
-                seen[p] = np.array(e.ids, dtype=self.dtype).tobytes()
-        heads = self.tok.encode_batch([c[0] for c in cut], add_special_tokens=False)
-        end = np.array([END_ID], dtype=self.dtype).tobytes()
-        out = []
-        for c, h in zip(cut, heads, strict=True):
-            raw = np.array(h.ids, dtype=self.dtype).tobytes() + b"".join([seen[p] for p in c[1:]]) + end
-            out.append(np.frombuffer(raw, dtype=self.dtype))
-        return out
+            ids = [[*x, END_ID] for x in self._ids(texts.to_pylist())]
+            return np.array(list(chain.from_iterable(ids)), dtype=self.dtype), np.array([len(x) for x in ids], dtype=np.int64)
+        whole = pa.array(np.zeros(len(texts), dtype=bool))
+        for token in self.tokens:  # a string of the vocabulary's own is one id: such texts aren't cut
+            whole = pc.or_(whole, pc.match_substring(texts, token))
+        if pc.any(whole).as_py():
+            ids, n = self.encode(pc.if_else(whole, "", texts))
+            parts = np.split(ids, np.cumsum(n)[:-1])
+            for i in np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist():
+                parts[i] = np.array([*self._ids([texts[i].as_py()])[0], END_ID], dtype=self.dtype)
+            return np.concatenate(parts), np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+        pieces, doc = chunks_of(texts)
+        coded = pieces.dictionary_encode()
+        table = [*self._known(coded.dictionary.to_pylist()), np.array([END_ID], dtype=self.dtype).tobytes()]
+        size = np.fromiter(map(len, table), dtype=np.int64, count=len(table)) // self.dtype.itemsize
+        start = np.cumsum(size) - size
+        # the end id behind each text's pieces, also where there are none
+        ends = np.searchsorted(doc, np.arange(len(texts)), side="right")
+        codes = np.insert(coded.indices.to_numpy().astype(np.int64), ends, len(table) - 1)
+        length = size[codes]
+        total = np.cumsum(length)
+        ids = np.frombuffer(b"".join(table), dtype=self.dtype)[np.repeat(start[codes] - (total - length), length) + np.arange(total[-1] if len(total) else 0)]
+        return ids, np.diff(total[ends + np.arange(len(texts))], prepend=0)
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One encoder a process: tasks of the same worker share what it has learnt."""
+    return Encoder(path)
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, sample: int = SAMPLE_DOCS, size: int = DICT_BYTES) -> bytes:
@@ -119,10 +217,10 @@ def train_dictionary(docs: DataFrame, tokenizer: str, sample: int = SAMPLE_DOCS,
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(tokenizer)
+        enc = encoder(tokenizer)
         for b in batches:
-            ids = enc.encode([t or "" for t in b.column(0).to_pylist()])
-            yield pa.RecordBatch.from_arrays([pa.array([x[:4096].tobytes() for x in ids], pa.binary())], names=["ids"])
+            ids, n = enc.encode(b.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array([x[:4096].tobytes() for x in np.split(ids, np.cumsum(n)[:-1])], pa.binary())], names=["ids"])
 
     some = docs.select("text", F.xxhash64("doc_id", F.lit(8)).alias("h"), "key").orderBy("h", "key").limit(sample).select(F.substring("text", 1, 16384).alias("text"))
     rows = [bytes(r["ids"]) for r in some.mapInArrow(run, "ids binary").collect()]
@@ -158,7 +256,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
     ident = d.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(tokenizer)
+        enc = encoder(tokenizer)
         comp = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(trained) if trained else None)
         to, at = _open_fs(folder)
         name, out, offset, start = f"{uuid.uuid4().hex}.tok", None, HEADER_SIZE, 0
@@ -168,16 +266,16 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
                     out = to.open_output_stream(posixpath.join(at, name))
                     out.write(struct.pack(HEADER, MAGIC, VERSION, enc.dtype.itemsize, digest))
                 texts = b.column(2)
-                for lo in range(0, b.num_rows, 256):
-                    part = b.slice(lo, 256)
-                    ids = enc.encode([t or "" for t in texts.slice(lo, 256).to_pylist()])
-                    frames = [comp.compress(x.tobytes()) for x in ids]
+                for lo in range(0, b.num_rows, ENCODED):
+                    part = b.slice(lo, ENCODED)
+                    ids, n = enc.encode(texts.slice(lo, ENCODED))
+                    raw, cut = ids.tobytes(), [0, *(np.cumsum(n) * enc.dtype.itemsize).tolist()]
+                    frames = [comp.compress(raw[i:j]) for i, j in zip(cut[:-1], cut[1:], strict=True)]
                     out.write(b"".join(frames))
-                    length = np.array([len(x) for x in frames], dtype=np.int64)
-                    n = np.array([len(x) for x in ids], dtype=np.int64)
+                    length = np.fromiter(map(len, frames), dtype=np.int64, count=len(frames))
                     offsets, starts = offset + np.cumsum(length) - length, start + np.cumsum(n) - n
                     offset, start = int(offset + length.sum()), int(start + n.sum())
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([name] * part.num_rows), pa.array(offsets), pa.array(length), pa.array(starts), pa.array(n)], names=["doc_id", "key", "file", "offset", "length", "start_in_file", "n_tokens"])
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([name] * part.num_rows), pa.array(offsets), pa.array(length), pa.array(starts), pa.array(n, pa.int64())], names=["doc_id", "key", "file", "offset", "length", "start_in_file", "n_tokens"])
         finally:
             if out is not None:
                 out.close()
