@@ -24,15 +24,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
 
 SEED = 42
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-#: Fingerprints of one side of a cell.
-BLOCK = 512
+#: Bytes of a long word.
+LONG_WORD = 6
+#: Stored fingerprints and probes of one cell.
+BLOCK, PROBES = 512, 4096
+#: What a row in a shuffle costs, in comparisons of two fingerprints.
+ROW_COST = 100
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -58,7 +62,7 @@ def majority(hashes: np.ndarray) -> int:
 
 
 def signatures(text: str | None, shingle: int) -> tuple[int, int, int]:
-    """(fingerprint of the distinct words, two of the shingles under different hashes).
+    """(fingerprint of the distinct long words, two of the shingles under different hashes).
 
     Copies with a few edits keep most of their words, so the first finds candidates at
     small distances; the 128 bits of the others measure the likeness of their shingles.
@@ -67,7 +71,9 @@ def signatures(text: str | None, shingle: int) -> tuple[int, int, int]:
     if not words:
         return 0, 0, 0
     h = xxhash.xxh64_intdigest
-    own = set(words)
+    # long words tell texts of one language apart; the short ones are in all of them
+    own = {w for w in words if len(w) >= LONG_WORD}
+    own = own if len(own) >= 8 else set(words)
     first = majority(np.fromiter((h(w, SEED) for w in own), dtype=np.uint64, count=len(own)))
     n = max(len(words) - shingle + 1, 1)
     grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if n > 1 else [b" ".join(words)]
@@ -152,7 +158,7 @@ def allocate(cost: list[list[float]], tau: int) -> list[int]:
     return best[tau + 1][1]
 
 
-def _value(bits: list[int]):
+def _value(bits: list[int]) -> Column:
     """The partition's bits of ``fp``, packed, as a column."""
     runs, start = [], 0
     for i in range(1, len(bits) + 1):
@@ -191,7 +197,7 @@ def plan_partitions(fps: DataFrame, tau: int, choices: tuple[int, ...] = (1, 2,
                     power.append((odds.sum() ** t) / math.factorial(t))
                 probes += math.comb(len(bits), t)
                 candidates += meet * power[t]
-                row.append(n * (1.0 + probes) * 4 + candidates)
+                row.append(n * (1.0 + (probes - 1) / 2) * ROW_COST + candidates)
             cost.append(row)
         ts = allocate(cost, tau)
         plans.append((sum(c[t + 1] for c, t in zip(cost, ts, strict=True)), m, ts))
@@ -208,6 +214,15 @@ def _flips(bits: int, t: int) -> list[int]:
     return out
 
 
+def _probes(k: int, v: Column, flips: list[int]) -> Column:
+    """The values that differ from v by one of the flips, and are larger.
+
+    A pair that differs here would meet from either end; one end will do.
+    """
+    values = F.transform(F.array(*[F.lit(x).cast("long") for x in flips]), lambda f: v.bitwiseXOR(f))
+    return F.transform(F.filter(values, lambda x: x > v), lambda x: F.struct(F.lit(k).alias("k"), x.alias("v")))
+
+
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links: each node to the least node of its part."""
     nodes, inv = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -230,30 +245,49 @@ def cell_links(cell: np.ndarray, tag: np.ndarray, node: np.ndarray, words: list[
     """Links inside cells: rows arrive sorted by cell.
 
     Two rows link if their ``words`` (64-bit columns) differ in at most ``most`` bits in all.
-    ``tag % 4`` is 1 for a stored value and 2 for a probe, which only meets stored
-    ones; ``tag // 4`` names a row's block in a cell of two blocks, where rows of one
-    block don't meet.
+    Tags: 0 meets 0, 1 meets 2, 3 meets 4 and nothing else. (Stored rows of one block; of two
+    blocks; stored rows and probes.)
     """
-    n, side, group = len(node), tag % 4, tag // 4
     bits = [w.view(np.uint64) for w in words]
-    us, vs, held = [], [], 0
+    n = len(node)
     starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if n else np.zeros(0, int)
     length = np.diff(np.append(starts, n))
-    end = np.repeat(starts + length, length)
-    at = np.arange(n)
-    for d in range(1, int(length.max(initial=1))):
-        at = at[at + d < end[at]]
-        if not len(at):
-            break
-        g = group[at]
-        i = at[((side[at] | side[at + d]) != 2) & ((g == 0) | (g != group[at + d]))]
-        i = i[sum(np.bitwise_count(w[i] ^ w[i + d]) for w in bits) <= most]
+    us, vs, held = [], [], 0
+
+    def keep(i: np.ndarray, j: np.ndarray) -> None:
+        nonlocal us, vs, held
         us.append(node[i])
-        vs.append(node[i + d])
+        vs.append(node[j])
         held += len(i)
         if held > 500_000:
             u, v = _forest(np.concatenate(us), np.concatenate(vs))
             us, vs, held = [u], [v], len(u)
+
+    # small cells all at once: each row with the one d places on
+    end = np.repeat(starts + length, length)
+    at = np.flatnonzero(np.repeat(length <= 32, length))
+    for d in range(1, 32):
+        at = at[at + d < end[at]]
+        if not len(at):
+            break
+        x, y = np.minimum(tag[at], tag[at + d]), np.maximum(tag[at], tag[at + d])
+        i = at[((x == 0) & (y == 0)) | ((x == 1) & (y == 2)) | ((x == 3) & (y == 4))]
+        i = i[sum(np.bitwise_count(w[i] ^ w[i + d]) for w in bits) <= most]
+        keep(i, i + d)
+    for s, k in zip(starts[length > 32], length[length > 32], strict=True):
+        t = tag[s : s + k]
+        for a, b in ((0, 0), (1, 2), (3, 4)):
+            left, right = np.flatnonzero(t == a) + s, np.flatnonzero(t == b) + s
+            if not len(left) or not len(right):
+                continue
+            for lo in range(0, len(left), 256):
+                row = left[lo : lo + 256]
+                i, j = np.nonzero(sum(np.bitwise_count(w[row][:, None] ^ w[right][None, :]).astype(np.int16) for w in bits) <= most)
+                i, j = row[i], right[j]
+                if a == b:
+                    i, j = i[i < j], j[i < j]
+                if len(i):
+                    keep(i, j)
     if not held:
         return np.zeros(0, node.dtype), np.zeros(0, node.dtype)
     return _forest(np.concatenate(us), np.concatenate(vs))
@@ -265,32 +299,48 @@ def links(fps: DataFrame, tau: int = 3, compare: tuple[str, ...] = ("fp",), most
     ``fps`` has ``node``, ``fp`` and the columns to ``compare``. Every two nodes whose fp
     differ in at most ``tau`` bits are compared; they link if the ``compare`` columns
     differ in at most ``most`` bits (else ``tau``).
+
+    Stored rows of a partition value are cut into blocks of BLOCK, probes into blocks of
+    PROBES, by hash; a cell is a block, a pair of blocks, or a block and a block of probes.
     """
     most = tau if most is None else most
-    parts = []
+    stored, probed = [], []
     for k, (bits, t) in enumerate(plan_partitions(fps, tau)):
         v = _value(bits)
-        parts.append(F.array(F.struct(F.lit(k).alias("k"), v.alias("v"), F.lit(1).alias("side"))))
+        stored.append(F.struct(F.lit(k).alias("k"), v.alias("v")))
         if t:
-            flips = F.array(*[F.lit(x).cast("long") for x in _flips(len(bits), t)])
-            # a pair that differs here meets from either end; one end will do
-            probes = F.filter(F.transform(flips, lambda f, v=v: v.bitwiseXOR(f)), lambda x, v=v: x > v)
-            parts.append(F.transform(probes, lambda x, k=k: F.struct(F.lit(k).alias("k"), x.alias("v"), F.lit(2).alias("side"))))
-    rows = fps.select("node", *compare, F.explode(F.concat(*parts)).alias("c")).select("node", *compare, "c.k", "c.v", "c.side")
-    size = rows.groupBy("k", "v").agg(F.count("*").alias("n"), F.max(F.when(F.col("side") == 1, 1).otherwise(0)).alias("own"))
-    size = size.where("n > 1 and own = 1").select(F.col("k").alias("s_k"), F.col("v").alias("s_v"), "n")
-    met = rows.join(size, (F.col("k") == F.col("s_k")) & (F.col("v") == F.col("s_v")))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    met = met.select("k", "v", "side", "node", *compare, mine.alias("a"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("b"))
-    group = F.when(F.col("a") == F.col("b"), 0).when(F.col("a") < F.col("b"), 1).otherwise(2)
-    met = met.select(F.xxhash64("k", "v", F.least("a", "b"), F.greatest("a", "b")).alias("cell"), (F.col("side") + group * 4).alias("tag"), "node", *compare)
+            probed.append(_probes(k, v, _flips(len(bits), t)))
+    own = fps.select("node", *compare, F.explode(F.array(*stored)).alias("c")).select("node", *compare, "c.k", "c.v")
+    size = own.groupBy("k", "v").agg(F.count("*").alias("n"))
+    h = F.xxhash64("node")
+    spread = lambda last: F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long")))
+    cells = []
+    if probed:
+        visit = fps.select("node", *compare, F.explode(F.concat(*probed)).alias("c")).select("node", *compare, "c.k", "c.v")
+        visits = visit.groupBy("k", "v").agg(F.count("*").alias("p"))
+        size = size.join(visits.withColumnsRenamed({"k": "p_k", "v": "p_v"}), (F.col("k") == F.col("p_k")) & (F.col("v") == F.col("p_v")), "left").select("k", "v", "n", F.coalesce("p", F.lit(0)).alias("p"))
+    else:
+        size = size.withColumn("p", F.lit(0).cast("long"))
+    size = materialize(size.where("n > 1 or p > 0").select(F.col("k").alias("s_k"), F.col("v").alias("s_v"), F.ceil(F.col("n") / BLOCK).alias("nb"), F.ceil(F.col("p") / PROBES).alias("pb"), "n"), "simhash-sizes")
+    here = (F.col("k") == F.col("s_k")) & (F.col("v") == F.col("s_v"))
+    mine = own.join(size, here).withColumn("a", F.pmod(h, F.col("nb")))
+    pairs = mine.where("n > 1").withColumn("b", spread(F.col("nb") - 1))
+    tag = F.when(F.col("a") == F.col("b"), 0).when(F.col("a") < F.col("b"), 1).otherwise(2)
+    cells.append(pairs.select(F.xxhash64(F.lit(0), "k", "v", F.least("a", "b"), F.greatest("a", "b")).alias("cell"), tag.alias("tag"), "node", *compare))
+    if probed:
+        kept = mine.where("pb > 0").withColumn("b", spread(F.col("pb") - 1))
+        cells.append(kept.select(F.xxhash64(F.lit(1), "k", "v", "a", "b").alias("cell"), F.lit(3).alias("tag"), "node", *compare))
+        met = visit.join(size, here).withColumn("b", F.pmod(h, F.col("pb"))).withColumn("a", spread(F.col("nb") - 1))
+        cells.append(met.select(F.xxhash64(F.lit(1), "k", "v", "a", "b").alias("cell"), F.lit(4).alias("tag"), "node", *compare))
+    rows = cells[0]
+    for c in cells[1:]:
+        rows = rows.unionByName(c)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
 
-        def found(rows: list[np.ndarray]) -> pa.RecordBatch:
-            u, v = cell_links(rows[0], rows[1], rows[2], rows[3:], most)
+        def found(x: list[np.ndarray]) -> pa.RecordBatch:
+            u, v = cell_links(x[0], x[1], x[2], x[3:], most)
             return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
         for b in batches:
@@ -304,8 +354,7 @@ def links(fps: DataFrame, tau: int = 3, compare: tuple[str, ...] = ("fp",), most
         if rest is not None and len(rest[0]):
             yield found(rest)
 
-    dealt = met.repartition("cell").sortWithinPartitions("cell")
-    return dealt.mapInArrow(run, "u long, v long").distinct()
+    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "u long, v long").distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -356,7 +405,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """``doc_id, key, component_id`` for near copies by the likeness of their shingles.
 
     For copies with a few edits: candidates are documents whose fingerprints of distinct
-    words differ in at most ``tau`` bits (and some beyond); they link if 128 SimHash bits of their
+    long words differ in at most ``tau`` bits (and some beyond); they link if 128 SimHash bits of their
     shingles differ in no more than sets of the given Jaccard ``similarity`` do on average
     plus 1.4 standard deviations. Cases as in ``near_duplicates``.
     """
