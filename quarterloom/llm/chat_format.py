@@ -121,6 +121,10 @@ def _turn(role: Column, text: Column) -> Column:
     return F.struct(role.alias("role"), F.coalesce(text.cast("string"), F.lit("")).alias("text"))
 
 
+def _list_turns(items: Column, role: str, text: str) -> Column:
+    return F.transform(items, lambda t: _turn(_role(t[role]), t[text]))
+
+
 def canonical_turns(df: DataFrame, conv_id: str = "conv_id", mappings: Sequence[Mapping] = MAPPINGS) -> DataFrame:
     """``conv_id, turn, role, text`` from any known layout; null roles and texts are empty.
 
@@ -132,7 +136,7 @@ def canonical_turns(df: DataFrame, conv_id: str = "conv_id", mappings: Sequence[
         return df.select(F.col(c).alias("conv_id"), F.col(t).alias("turn"), F.coalesce(F.col(r), F.lit("")).alias("role"), F.coalesce(F.col(x), F.lit("")).alias("text"))
     if m.kind == "list":
         path, role, text = m.spec
-        turns = F.transform(F.col(path), lambda t: _turn(_role(t[role]), t[text]))
+        turns = _list_turns(F.col(path), role, text)
     else:
         turns = F.filter(F.array(*[_turn(F.lit(role), F.col(p)) for p, role in m.spec]), lambda t: t["text"] != "")
     return df.select(F.col(conv_id).alias("conv_id"), F.posexplode(turns).alias("turn", "t")).select("conv_id", F.col("turn").cast("long").alias("turn"), "t.role", "t.text")
@@ -151,7 +155,7 @@ def canonical_json(df: DataFrame, json_col: str = "json", conv_id: str = "conv_i
         if m.kind == "list":
             path, role, text = m.spec
             items = F.try_variant_get(F.col("v"), f"$.{path}", f"array<struct<`{role}`:string,`{text}`:string>>")
-            turns, fits = F.transform(items, lambda t, r=role, x=text: _turn(_role(t[r]), t[x])), items.isNotNull() & F.exists(items, lambda t, x=text: t[x].isNotNull())
+            turns, fits = _list_turns(items, role, text), items.isNotNull() & (F.size(F.filter(items[text], lambda x: x.isNotNull())) > 0)
         else:
             got = {p: F.try_variant_get(F.col("v"), f"$.{p}", "string") for p, _ in m.spec}
             turns = F.filter(F.array(*[_turn(F.lit(role), got[p]) for p, role in m.spec]), lambda t: t["text"] != "")
