@@ -14,7 +14,7 @@ INCOME = "revtq cogsq xsgaq xrdq dpq stkcoq oibdpq oiadpq xintq nopiq spiq piq t
 CASH_FLOW = "fopoq oancfq capxq ivchq aqcq sivq sppeq ivstchq ivacoq ivncfq sstkq prstkcq dltisq dltrq dvq dlcchq txbcofq fiaoq fincfq exreq".split()
 COMPUTED = "gpq fcfq wcapq aoq_ex_intanq loq_ex_dr xsgaq_ex_rd".split()
 CORE = "revtq cogsq oiadpq niq dpq cheq ppentq atq ltq seqq dlttq gpq".split()
-PRO_FORMA = (
+STATEMENTS = (
     "cheq invtq rectq acoq gdwlq ppentq aoq atq apq lcoq dlcq drltq dlttq txdbq loq ltq cstkq capsq req tstkq ceqq pstkq seqq mibq "
     "revtq cogsq xsgaq xrdq dpq oibdpq oiadpq xintq nopiq piq txtq niq xoprq "
     "fopoq oancfq capxq ivchq aqcq ivacoq ivncfq sstkq prstkcq dltisq dltrq dvq fiaoq fincfq intpnq txpdq gpq fcfq aociq"
@@ -30,7 +30,7 @@ _FULL = [*BALANCE_SHEET, *INCOME, *CASH_FLOW, *COMPUTED]
 _ABSENT_EARLY = {"txbcofq", "stkcoq", "drcq", "drltq", "acomincq", "loq_ex_dr"}
 FEATURE_SETS: dict[str, list[str]] = {
     "core": CORE,
-    "pro_forma": PRO_FORMA,
+    "statements": STATEMENTS,
     "pf_full": _FULL,
     "pf_avail": [i for i in _FULL if i not in _ABSENT_EARLY],
     "pf_full2": [*BALANCE_SHEET, *INCOME[:-1], "dvpq", INCOME[-1], *(i for i in CASH_FLOW if i != "dvq"), *COMPUTED, "dvcq"],

@@ -218,11 +218,11 @@ def test_build_rejects_what_it_cannot_use(spark):
 
 def test_sources(spark, tmp_path):
     with pytest.raises(ValueError):
-        readers.source_query("comp.fundq", ["a; drop"], [], 1970, 1971)
+        readers.source_query("db.quarterly", ["a; drop"], [], 1970, 1971)
     with pytest.raises(ValueError):
-        readers.source_query("comp.fundq", ["a"], [("indfmt", "x' or '1")], 1970, 1971)
-    q = readers.source_query("comp.fundq", ["gvkey", "niq"], [("indfmt", "INDL")], 1970, 1974)
-    assert q == "SELECT gvkey, niq FROM comp.fundq WHERE indfmt = 'INDL' AND datadate BETWEEN '1970-01-01' AND '1974-12-31'"
+        readers.source_query("db.quarterly", ["a"], [("indfmt", "x' or '1")], 1970, 1971)
+    q = readers.source_query("db.quarterly", ["gvkey", "niq"], [("indfmt", "INDL")], 1970, 1974)
+    assert q == "SELECT gvkey, niq FROM db.quarterly WHERE indfmt = 'INDL' AND datadate BETWEEN '1970-01-01' AND '1974-12-31'"
     assert readers.chunk_name(1, 2, ["b", "a"], []) == readers.chunk_name(1, 2, ["a", "b"], []) != readers.chunk_name(1, 2, ["a"], [])
     assert readers.read_sidecar(json.dumps({"family": "Student_T", "df": 4})) == ("student_t", 4.0)
     assert readers.read_sidecar("nope") == readers.read_sidecar(None) == ("gaussian", None)
