@@ -111,7 +111,7 @@ def _pairs(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
     return pd.DataFrame({"query_id": a, "vec_id": b, "score": s})
 
 
-def top_k(vectors: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 50, query_rows: int = 2048, candidate_rows: int = 8192) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 50, query_rows: int = 8192, candidate_rows: int = 8192) -> DataFrame:
     """The k best integer inner products of each query against all other rows.
 
     Queries are the rows whose id is divisible by ``every``. Returns ``query_id,
