@@ -46,9 +46,9 @@ SAMPLE_DOCS = 2000
 DICT_BYTES = 64 * 1024
 LEVEL = 3
 #: Pieces of text whose ids a worker remembers.
-CACHE = 800_000
+CACHE = 600_000
 #: Documents that are encoded at once.
-ENCODED = 2000
+ENCODED = 1000
 END_ID = 0
 #: How a byte-level vocabulary writes a space.
 SPACE = "\u0120"
