@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialize
+from .common import fresh_path, least_hashed, materialize
 
 MAGIC, VERSION = b"QLTK", 1
 HEADER = "<4sHH32s"
@@ -222,7 +222,8 @@ def train_dictionary(docs: DataFrame, tokenizer: str, sample: int = SAMPLE_DOCS,
             ids, n = enc.encode(b.column(0))
             yield pa.RecordBatch.from_arrays([pa.array([x[:4096].tobytes() for x in np.split(ids, np.cumsum(n)[:-1])], pa.binary())], names=["ids"])
 
-    some = docs.select("text", F.xxhash64("doc_id", F.lit(8)).alias("h"), "key").orderBy("h", "key").limit(sample).select(F.substring("text", 1, 16384).alias("text"))
+    hashed = docs.select("text", F.xxhash64("doc_id", "key", F.lit(8)).alias("h"), "key")
+    some = least_hashed(hashed, "h", sample, ("key",)).select(F.substring("text", 1, 16384).alias("text"))
     rows = [bytes(r["ids"]) for r in some.mapInArrow(run, "ids binary").collect()]
     rows.sort()
     if len(rows) < 8:

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import least_hashed
+
 #: Bounds of the labelled sample that the model is fitted on.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 3000, 7000
 #: Bounds of the lexicon: terms, their letters, and the evidence for one.
@@ -219,7 +221,7 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     usable = labels.where("doc_id is not null and toxic is not null").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
     y = usable.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic")).withColumn("h", F.xxhash64("doc_id", F.lit(6)))
-    some = y.where("toxic = 1").orderBy("h", "doc_id").limit(SAMPLE_TOXIC).union(y.where("toxic = 0").orderBy("h", "doc_id").limit(SAMPLE_CLEAN))
+    some = least_hashed(y.where("toxic = 1"), "h", SAMPLE_TOXIC, ("doc_id",)).union(least_hashed(y.where("toxic = 0"), "h", SAMPLE_CLEAN, ("doc_id",)))
     some = some.select(F.col("doc_id").alias("y_id"), "toxic", "h")
     # at most SAMPLE_TOXIC + SAMPLE_CLEAN rows of three numbers
     rows = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("y_id")).select("text", "toxic", "h")
