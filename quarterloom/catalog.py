@@ -16,7 +16,7 @@ from .config import Scale, StatLags, Task
 from .functions import density as D
 from .functions import exprs as E
 from .operators import cells as C
-from .operators import impute, joins, panel, stats
+from .operators import impute, joins, panel, reshape, stats
 from .plans import baselines, drift, masks, scoring, validate
 from .streaming import ingest
 
@@ -369,6 +369,13 @@ def q_wide_view(spark, d):
     return w.select("firm", "qord", "tot_level_0", "mx_level_0", "tot_level_2", "tot_t3")
 
 
+@query(f"""WITH {TRUTH_C} SELECT firm, target, origin, CAST(horizon AS BIGINT) AS horizon, actual, base FROM truth t WHERE target = 'tot' AND horizon <= 4""")
+def q_wide_truth(spark, d):
+    w = C.wide_view(cells_c(spark, d), ("tot", "mx"), Task(horizon=4, yoy=0))
+    t = reshape.wide_truth(w.where("tot_level_0 is not null"))
+    return t.where("target = 'tot'").select("firm", "target", "origin", "horizon", "actual", "base")
+
+
 # ---- forecasts and scoring ------------------------------------------------------------------
 
 

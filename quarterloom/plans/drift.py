@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -75,3 +75,28 @@ def compare_ids(a: DataFrame, b: DataFrame, name: str, id_col: str, limit: int =
     x, y = a.select(F.col(name).alias("a_name"), F.col(id_col).alias("a_id")), b.select(F.col(name).alias("b_name"), F.col(id_col).alias("b_id"))
     j = x.join(y, F.col("a_id") == F.col("b_id"), "full_outer")
     return j.where(~F.col("a_name").eqNullSafe(F.col("b_name"))).select(F.coalesce("a_id", "b_id").alias("id"), "a_name", "b_name").orderBy("id").limit(limit)
+
+
+def fingerprint(df: DataFrame, keys: list[str]) -> dict[str, str]:
+    """Rows and an order-insensitive hash for every column: a table's identity."""
+    cols = [c for c in df.columns if c not in keys]
+    hashes = [F.sum(F.xxhash64(*keys, F.bround(F.col(c).cast("double"), 6) if t in ("float", "double") else F.col(c)).cast("decimal(38,0)")).cast("string").alias(c) for c, t in df.select(*cols).dtypes]
+    r = df.agg(F.count("*").cast("string").alias("n_rows"), *hashes).first()
+    return {k: v or "0" for k, v in r.asDict().items()}
+
+
+def verify(built: dict[str, dict[str, str]], reference: dict[str, dict[str, str]]) -> tuple[dict[str, str], bool]:
+    """(status of each artifact: ok, mismatch, missing or extra; whether all match)."""
+    status = {n: "missing" if n not in built else "extra" if n not in reference else "ok" if built[n] == reference[n] else "mismatch" for n in {*built, *reference}}
+    return status, bool(status) and all(s == "ok" for s in status.values())
+
+
+def check_firm_ids(ids: DataFrame, expected: int, tolerance: float = 0.01, name: str = "firm", id_col: str = "firm_id") -> list[str]:
+    """Problems of a firm dictionary: ids that aren't 0.. in order of the names, or a count too far off."""
+    w = Window.orderBy(name)
+    wrong = ids.withColumn("want", F.row_number().over(w) - 1).where(F.col(id_col) != F.col("want")).count()
+    n = ids.count()
+    out = [f"{wrong} ids out of order"] if wrong else []
+    if expected and abs(n - expected) / expected > tolerance:
+        out.append(f"{n} names where {expected} are expected")
+    return out
