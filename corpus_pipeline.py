@@ -33,7 +33,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: that of the least id; of repeated rows, one."""
     groups = simhash.similar_documents(docs, shingle=SHINGLE, similarity=SIMILARITY)
-    marks = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("key").alias("m_key")).withColumnRenamed("component_id", "m_doc_id")
+    named = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    marks = named.groupBy("root").agg(F.first("component_id").alias("m_doc_id"), F.min("key").alias("m_key")).drop("root")
     kept = _with_key(docs).join(marks, _same(docs, marks), "left_semi")
     return kept.dropDuplicates(["doc_id", "__key"]).select(*COLUMNS)
 

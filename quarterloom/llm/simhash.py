@@ -402,7 +402,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, tau: int = 7) -> DataFrame:
-    """``doc_id, key, component_id`` for near copies by the likeness of their shingles.
+    """``doc_id, key, root, component_id`` for near copies by the likeness of their shingles.
+
+    ``root`` names a component even where all its ids are null.
 
     For copies with a few edits: candidates are documents whose fingerprints of distinct
     long words differ in at most ``tau`` bits (and some beyond); they link if 128 SimHash bits of their
@@ -414,7 +416,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     d = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
     d = _with(d, "text", ["fp", "s0", "s1"], lambda t: signatures(t, shingle)).withColumn("node", F.xxhash64("fp", "s0", "s1"))
     d = materialize(d, "simhash")
-    return _components_of(d, links(_distinct(d, ["fp", "s0", "s1"]), tau, ("s0", "s1"), most)).select("doc_id", "key", "component_id")
+    return _components_of(d, links(_distinct(d, ["fp", "s0", "s1"]), tau, ("s0", "s1"), most)).select("doc_id", "key", "root", "component_id")
 
 
 def _distinct(d: DataFrame, cols: list[str]) -> DataFrame:
@@ -422,13 +424,13 @@ def _distinct(d: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def _components_of(d: DataFrame, found: DataFrame) -> DataFrame:
-    """Add ``component_id``, the least doc_id of each node's component."""
+    """Add ``root`` and ``component_id``, the least doc_id, of each node's component."""
     roots = materialize(components(found).select(F.col("node").alias("r_node"), "root"), "simhash-roots")
     firsts = d.groupBy("node").agg(F.min("doc_id").alias("first"))
     r = firsts.join(roots, F.col("node") == F.col("r_node"), "left").select("node", F.coalesce("root", "node").alias("root"), "first")
     r = materialize(r, "simhash-members")
     least = r.groupBy("root").agg(F.min("first").alias("component_id")).withColumnRenamed("root", "l_root")
-    named = r.join(least, F.col("root") == F.col("l_root")).select(F.col("node").alias("n_node"), "component_id")
+    named = r.join(least, F.col("root") == F.col("l_root")).select(F.col("node").alias("n_node"), "root", "component_id")
     return d.join(named, F.col("node") == F.col("n_node"))
 
 

@@ -530,6 +530,14 @@ def test_proximity_matches_in_any_order(spark):
     assert got == [True, False, True, False]
 
 
+def test_near_duplicate_stage_keeps_one_of_each_group_without_ids(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(21)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    out = pipeline.drop_near_duplicates(spark, docs(spark, [a, b, b, c, c, None, ""], ids=[None, None, None, 4, None, 6, 7]), str(tmp_path))
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in out.collect()) == sorted([(0, a), (0, b), (4, c), (6, "")])
+
+
 # ---- the pipeline ---------------------------------------------------------------------------
 
 
