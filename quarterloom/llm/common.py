@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,3 +89,11 @@ def least_hashed(df: DataFrame, h: str, limit: int, ties: tuple[str, ...] = ())
     if n > 4 * limit:
         df = df.where(F.col(h) < F.lit(-(2**63) + int(2**64 * 2 * limit / n)))
     return df.orderBy(h, *ties).limit(limit)
+
+
+def release_memory() -> None:
+    """Give a worker's freed memory back at a partition's end: idle workers outlive their stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

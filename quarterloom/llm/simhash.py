@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release_memory
 
 SEED = 42
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -90,6 +90,7 @@ def _with(docs: DataFrame, text_col: str, names: list[str], make) -> DataFrame:
         for b in batches:
             made = np.array([make(t.as_py()) for t in b.column(len(keep))], dtype=np.uint64).reshape(-1, len(names))
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(keep))] + [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in made.T], names=keep + names)
+        release_memory()
 
     cols = [F.col(f"`{c}`") for c in keep]
     schema = docs.select(*cols, *[F.lit(0).cast("long").alias(c) for c in names]).schema
@@ -353,6 +354,7 @@ def links(fps: DataFrame, tau: int = 3, compare: tuple[str, ...] = ("fp",), most
                 yield found([x[:cut] for x in now])
         if rest is not None and len(rest[0]):
             yield found(rest)
+        release_memory()
 
     return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "u long, v long").distinct()
 

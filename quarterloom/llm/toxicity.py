@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import least_hashed
+from .common import least_hashed, release_memory
 
 #: Bounds of the labelled sample that the model is fitted on.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 3000, 7000
@@ -366,6 +366,8 @@ def with_score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
         for b in batches:
             score = [s.score(t.as_py()) for t in b.column(at)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score, pa.float64())], names=[*keep, "score"])
+        del s
+        release_memory()
 
     schema = docs.select(*[F.col(f"`{c}`") for c in keep], F.lit(0.0).cast("double").alias("score")).schema
     return docs.select(*[F.col(f"`{c}`") for c in keep]).mapInArrow(run, schema)
