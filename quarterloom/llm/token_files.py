@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, least_hashed, materialize
+from .common import fresh_path, least_hashed, materialize, release_memory
 
 MAGIC, VERSION = b"QLTK", 1
 HEADER = "<4sHH32s"
@@ -48,7 +48,7 @@ LEVEL = 3
 #: Pieces of text whose ids a worker remembers.
 CACHE = 600_000
 #: Documents that are encoded at once.
-ENCODED = 1000
+ENCODED = 600
 END_ID = 0
 #: How a byte-level vocabulary writes a space.
 SPACE = "\u0120"
@@ -280,6 +280,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
         finally:
             if out is not None:
                 out.close()
+            release_memory()
 
     order = [F.col("doc_id").asc_nulls_first(), F.col("key")]
     dealt = d.repartitionByRange(shards, *order) if shards else d.repartitionByRange(*order)
