@@ -31,10 +31,12 @@ from .common import materialize, release_memory
 
 SEED = 42
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-#: Bytes of a long word.
-LONG_WORD = 6
 #: Stored fingerprints and probes of one cell.
 BLOCK, PROBES = 512, 4096
+#: About so many documents' shingles are counted for the order of rarity, and the shingles put last in it.
+ORDER_DOCS, COMMON = 20_000, 1 << 16
+#: Bits of the filter by which only candidates' texts are cut again.
+FILTER_BITS = 1 << 22
 #: What a row in a shuffle costs, in comparisons of two fingerprints.
 ROW_COST = 100
 
@@ -61,27 +63,6 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def signatures(text: str | None, shingle: int) -> tuple[int, int, int]:
-    """(fingerprint of the distinct long words, two of the shingles under different hashes).
-
-    Copies with a few edits keep most of their words, so the first finds candidates at
-    small distances; the 128 bits of the others measure the likeness of their shingles.
-    """
-    words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
-    if not words:
-        return 0, 0, 0
-    h = xxhash.xxh64_intdigest
-    # long words tell texts of one language apart; the short ones are in all of them
-    own = {w for w in words if len(w) >= LONG_WORD}
-    own = own if len(own) >= 8 else set(words)
-    first = majority(np.fromiter((h(w, SEED) for w in own), dtype=np.uint64, count=len(own)))
-    n = max(len(words) - shingle + 1, 1)
-    grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if n > 1 else [b" ".join(words)]
-    x = np.fromiter((h(g, SEED) for g in grams), dtype=np.uint64, count=n)
-    y = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return first, majority(x), majority(y ^ (y >> np.uint64(29)))
-
-
 def _with(docs: DataFrame, text_col: str, names: list[str], make) -> DataFrame:
     """Replace the text by long columns, the unsigned numbers that ``make`` gives; others stay."""
     keep = [f.name for f in docs.schema.fields if f.name not in (text_col, *names)]
@@ -403,22 +384,204 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return _components_of(d, links(_distinct(d, ["fp"]), tau)).select("doc_id", "key", "fp", "component_id")
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, tau: int = 7) -> DataFrame:
-    """``doc_id, key, root, component_id`` for near copies by the likeness of their shingles.
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """The distinct shingles' hashes, ascending; a short text is one shingle, a wordless one the empty shingle."""
+    words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
+    h, n = xxhash.xxh64_intdigest, max(len(words) - shingle + 1, 1)
+    grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if n > 1 else [b" ".join(words)]
+    return np.unique(np.fromiter((h(g, SEED) for g in grams), dtype=np.uint64, count=n) >> np.uint64(2)).view(np.int64)
+
+
+def _arrays(rows: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64)))
 
-    ``root`` names a component even where all its ids are null.
 
-    For copies with a few edits: candidates are documents whose fingerprints of distinct
-    long words differ in at most ``tau`` bits (and some beyond); they link if 128 SimHash bits of their
-    shingles differ in no more than sets of the given Jaccard ``similarity`` do on average
-    plus 1.4 standard deviations. Cases as in ``near_duplicates``.
+def common_shingles(d: DataFrame, shingle: int) -> np.ndarray:
+    """The most frequent shingles of a sample, ascending: at most COMMON.
+
+    They only steer the cost: prefixes find all pairs under any order of the shingles.
     """
-    angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    most = int(128 * angle + 1.4 * math.sqrt(128 * angle * (1 - angle)))
-    d = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
-    d = _with(d, "text", ["fp", "s0", "s1"], lambda t: signatures(t, shingle)).withColumn("node", F.xxhash64("fp", "s0", "s1"))
-    d = materialize(d, "simhash")
-    return _components_of(d, links(_distinct(d, ["fp", "s0", "s1"]), tau, ("s0", "s1"), most)).select("doc_id", "key", "root", "component_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([_arrays([shingle_hashes(t.as_py(), shingle) for t in b.column(0)])], names=["x"])
+        release_memory()
+
+    n = d.count()
+    sample = d if n <= ORDER_DOCS else d.where(F.col("key") < F.lit(-(2**63) + int(2**64 * ORDER_DOCS / n)))
+    counts = sample.select("text").mapInArrow(run, "x array<long>").select(F.explode("x").alias("x")).groupBy("x").agg(F.count("*").alias("n"))
+    top = counts.where("n > 2").orderBy(F.desc("n"), "x").limit(COMMON)
+    return np.sort(np.array([r["x"] for r in top.select("x").collect()], dtype=np.int64))
+
+
+def least_overlap(n: int, similarity: float) -> int:
+    """Shingles that a set of n shares at least with a set of that Jaccard similarity."""
+    return max(math.ceil(similarity * n - 1e-9), 1)
+
+
+def _prefixes(d: DataFrame, shingle: int, similarity: float, common: np.ndarray) -> DataFrame:
+    """Replace ``text`` by ``node`` (the hash of its shingle set), ``n`` and ``prefix``.
+
+    The prefix holds so many of the shingles, common ones last, that sets of the given
+    similarity cannot both miss the other's: n - least_overlap(n) + 1 (a pigeonhole).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            node, n, prefix = [], [], []
+            for t in b.column(2):
+                x = shingle_hashes(t.as_py(), shingle)
+                m = len(x) - least_overlap(len(x), similarity) + 1
+                node.append(xxhash.xxh64_intdigest(x.tobytes(), SEED))
+                n.append(len(x))
+                if len(common):
+                    last = common[np.minimum(np.searchsorted(common, x), len(common) - 1)] == x
+                    x = np.concatenate([x[~last][:m], x[last][: max(m - int((~last).sum()), 0)]])
+                prefix.append(x[:m])
+            made = [pa.array(np.array(node, dtype=np.uint64).view(np.int64)), pa.array(n, pa.int64()), _arrays(prefix)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], names=["doc_id", "key", "node", "n", "prefix"])
+        release_memory()
+
+    schema = d.select("doc_id", "key", F.lit(0).cast("long").alias("node"), F.lit(0).cast("long").alias("n"), F.array(F.lit(0).cast("long")).alias("prefix")).schema
+    return d.select("doc_id", "key", "text").mapInArrow(run, schema)
+
+
+def _by_cell(rows: DataFrame, make, schema: str) -> DataFrame:
+    """``make`` gets the columns of whole cells, sorted by ``cell`` and ``node``, and yields columns."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[np.ndarray] | None = None
+        for b in batches:
+            now = [c.to_numpy() for c in b.columns]
+            now = [np.concatenate(x) for x in zip(rest, now, strict=True)] if rest is not None else now
+            cut = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
+            rest = [x[cut:] for x in now]
+            if cut:
+                for out in make(*(x[:cut] for x in now)):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=names)
+        if rest is not None and len(rest[0]):
+            for out in make(*rest):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=names)
+        release_memory()
+
+    return rows.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(run, schema)
+
+
+def _bounds(cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+    return starts, np.diff(np.append(starts, len(cell)))
+
+
+def met(cell: np.ndarray, node: np.ndarray) -> Iterator[list[np.ndarray]]:
+    """The rows of cells with more than one node."""
+    starts, length = _bounds(cell)
+    keep = np.repeat(length > 1, length)
+    yield [cell[keep], node[keep]]
+
+
+def candidate_pairs(cell: np.ndarray, node: np.ndarray, n: np.ndarray, root: np.ndarray, similarity: float, star: bool) -> Iterator[list[np.ndarray]]:
+    """``u, v`` of a cell that have different roots and sizes that allow the similarity.
+
+    With ``star`` only the cell's first node meets the others. Else all do: of each part
+    of a cell (equal roots) but the largest, the rows meet those of larger parts only.
+    """
+
+    def fit(i: np.ndarray, j: np.ndarray) -> list[np.ndarray]:
+        ok = (root[i] != root[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)
+        u, v = np.minimum(node[i[ok]], node[j[ok]]), np.maximum(node[i[ok]], node[j[ok]])
+        order = np.lexsort((v, u))
+        u, v = u[order], v[order]
+        new = np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])])[: len(u)]
+        return [u[new], v[new]]
+
+    starts, length = _bounds(cell)
+    if star:
+        yield fit(np.repeat(starts, length), np.arange(len(cell)))
+        return
+    mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
+    small = np.repeat(mixed & (length <= 32), length)
+    end, at = np.repeat(starts + length, length), np.flatnonzero(small)
+    for k in range(1, 32):
+        at = at[at + k < end[at]]
+        if not len(at):
+            break
+        yield fit(at, at + k)
+    for s, k in zip(starts[mixed & (length > 32)], length[mixed & (length > 32)], strict=True):
+        _, part, size = np.unique(root[s : s + k], return_inverse=True, return_counts=True)
+        rank = np.argsort(np.argsort(size, kind="stable"))[part]
+        order = np.argsort(rank, kind="stable") + s
+        after = np.searchsorted(rank[order - s], rank[order - s], side="right")
+        i, held = [], 0
+        for x in range(int(np.searchsorted(after, k))):
+            i.append(x)
+            held += k - after[x]
+            if held > 1_000_000:
+                yield fit(order[np.repeat(i, k - after[i])], order[np.concatenate([np.arange(after[y], k) for y in i])])
+                i, held = [], 0
+        if i:
+            yield fit(order[np.repeat(i, k - after[i])], order[np.concatenate([np.arange(after[y], k) for y in i])])
+
+
+def _sets_of(d: DataFrame, needed: DataFrame, shingle: int) -> DataFrame:
+    """``node, x``: all shingles of the needed nodes (``node, key``, the key of one of its documents)."""
+    slot = F.pmod("key", F.lit(FILTER_BITS))
+    words = needed.select(slot.alias("s")).groupBy(F.shiftright("s", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 31 as int))")).alias("m")).collect()
+    bits = np.zeros(FILTER_BITS // 32, dtype=np.int64)
+    bits[[r["w"] for r in words]] = [r["m"] for r in words]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.column(0).to_numpy() % FILTER_BITS
+            keep = np.flatnonzero(bits[at >> 5] >> (at & 31) & 1)
+            if len(keep):
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep)), _arrays([shingle_hashes(b.column(1)[int(i)].as_py(), shingle) for i in keep])], names=["key", "x"])
+        release_memory()
+
+    found = d.select("key", "text").mapInArrow(run, "key long, x array<long>")
+    one = found.join(needed.select(F.col("key").alias("n_key"), "node"), F.col("key") == F.col("n_key")).select("node", "x")
+    return materialize(one.dropDuplicates(["node"]), "shingle-sets")
+
+
+def _verified(pairs: DataFrame, d: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs whose shingle sets have the Jaccard similarity."""
+    ids = pairs.select(F.col("u").alias("i")).union(pairs.select("v")).distinct()
+    sets = _sets_of(d, materialize(nodes.join(ids, F.col("node") == F.col("i")).select("node", "key"), "shingle-needed"), shingle)
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("x").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("x").alias("b")), "v")
+    both = both.select("u", "v", F.size("a").alias("p"), F.size("b").alias("q"), F.size(F.array_intersect("a", "b")).alias("c"))
+    return materialize(both.where(F.col("c") / (F.col("p") + F.col("q") - F.col("c")) >= F.lit(similarity)).select("u", "v"), "shingle-links")
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``doc_id, key, root, component_id``: components over all pairs of at least that similarity.
+
+    The similarity is the Jaccard similarity of the sets of word shingles, exact up to
+    collisions of 62-bit hashes. By the pigeonhole principle two such sets share a shingle of
+    their prefixes; documents that do meet in its cell. First each cell's least node is compared
+    with the others; then all that are not in one component yet. ``root`` names a component
+    even where all its ids are null. Cases as in ``near_duplicates``.
+    """
+    text = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    d = materialize(_prefixes(text, shingle, similarity, common_shingles(text, shingle)), "shingle-prefixes")
+    nodes = d.groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n"))
+    nodes = materialize(nodes, "shingle-nodes")
+    rows = d.join(nodes.select(F.col("node").alias("o_node"), F.col("key").alias("o_key")), (F.col("node") == F.col("o_node")) & (F.col("key") == F.col("o_key")), "left_semi")
+    rows = rows.dropDuplicates(["node"]).select(F.explode("prefix").alias("cell"), "node")
+    cells = materialize(_by_cell(rows, met, "cell long, node long"), "shingle-cells")
+    sized = cells.join(nodes.select(F.col("node").alias("s_node"), "n"), F.col("node") == F.col("s_node")).select("cell", "node", "n")
+    d, found, roots = d.select("doc_id", "key", "node"), None, None
+    for star in (True, False):
+        if roots is None:
+            named = sized.withColumn("root", F.col("node"))
+        else:
+            named = sized.join(roots, F.col("node") == F.col("r_node"), "left").select("cell", "node", "n", F.coalesce("root", "node").alias("root"))
+        pairs = _by_cell(named, lambda *x, star=star: candidate_pairs(*x, similarity, star), "u long, v long")
+        new = _verified(materialize(pairs.distinct(), "shingle-pairs"), text, nodes, shingle, similarity)
+        found = new if found is None else found.union(new)
+        if star:
+            roots = materialize(components(found).select(F.col("node").alias("r_node"), "root"), "shingle-roots")
+    return _components_of(d, found).select("doc_id", "key", "root", "component_id")
 
 
 def _distinct(d: DataFrame, cols: list[str]) -> DataFrame:

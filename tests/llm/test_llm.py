@@ -381,6 +381,59 @@ def test_similar_documents_find_edited_copies(spark):
     assert all(got[i] == 4 * g for i, g in enumerate(group))
 
 
+def shingle_set(text, k=5):
+    w = text.lower().split()
+    return {tuple(w[i : i + k]) for i in range(max(len(w) - k + 1, 1))}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def big_prose(rng, n):
+    return [f"word{rng.randint(0, 20_000)}x" for _ in range(n)]
+
+
+def scattered(rng, words, share):
+    out = list(words)
+    for i in rng.sample(range(len(out)), max(int(share * len(out)), 1)):
+        out[i] = f"edit{rng.randint(0, 10**6)}"
+    return out
+
+
+def test_similar_documents_keep_pairs_below_the_similarity_apart(spark):
+    rng = random.Random(41)
+    texts = []
+    for _ in range(60):
+        base = big_prose(rng, 200)
+        while not 0.7 <= jaccard(shingle_set(" ".join(base)), shingle_set(" ".join(copy := scattered(rng, base, 0.035)))) < 0.8:
+            pass
+        texts += [" ".join(base), " ".join(copy)]
+    # a chain: each neighbour is like enough, and so all are one component
+    chain = big_prose(rng, 300)
+    for k in range(4):
+        texts.append(" ".join(chain[10 * k : 10 * k + 200]))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs(spark, texts)).collect()}
+    assert got == {i: min(i, 120) for i in range(124)}
+
+
+@pytest.mark.parametrize("star", [True, False])
+def test_candidate_pairs_are_those_of_different_roots_and_fitting_sizes(star):
+    rng = np.random.default_rng(5)
+    cell = np.sort(rng.integers(0, 12, 700)) + (np.arange(700) > 400)
+    node, n, root = rng.permutation(700), rng.integers(80, 130, 700), rng.integers(0, 5, 700)
+    order = np.lexsort((node, cell))
+    node = node[order]
+    got = {p for u, v in simhash.candidate_pairs(cell, node, n, root, 0.8, star) for p in zip(u.tolist(), v.tolist())}
+    want = set()
+    for i in range(700):
+        for j in range(i + 1, 700):
+            first = i == 0 or cell[i - 1] != cell[i]
+            if cell[i] == cell[j] and root[i] != root[j] and min(n[i], n[j]) >= 0.8 * max(n[i], n[j]) and (first or not star):
+                want.add((min(node[i], node[j]), max(node[i], node[j])))
+    assert got == want
+
+
 # ---- op 8 -----------------------------------------------------------------------------------
 
 
