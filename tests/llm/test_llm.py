@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -434,6 +435,30 @@ def test_candidate_pairs_are_those_of_different_roots_and_fitting_sizes(star):
     assert got == want
 
 
+def test_similar_documents_find_scattered_and_contiguous_edits_in_every_band(spark):
+    rng = random.Random(43)
+    edits = {
+        "scattered": lambda b, x: scattered(rng, b, x / 10),
+        "appended": lambda b, x: b + big_prose(rng, int(x * len(b))),
+        "truncated": lambda b, x: b[: len(b) - int(x * len(b))],
+        "replaced": lambda b, x: b[: len(b) - int(x / 2 * len(b))] + big_prose(rng, int(x / 2 * len(b))),
+    }
+    texts, kinds = [], []
+    for kind, edit in edits.items():
+        for k in range(60):
+            base = big_prose(rng, rng.randint(30, 400))
+            texts += [" ".join(base), " ".join(edit(base, (k + 1) / 200))]
+            kinds.append(kind)
+    sets = [shingle_set(t) for t in texts]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs(spark, texts)).collect()}
+    tally = defaultdict(Counter)
+    for p, kind in enumerate(kinds):
+        j = jaccard(sets[2 * p], sets[2 * p + 1])
+        tally[kind, math.floor(20 * j + 1e-9) / 20][got[2 * p + 1] == 2 * p] += 1
+    assert all(len([b for k, b in tally if k == kind and b >= 0.8]) >= 3 for kind in edits)
+    assert {key: set(c) for key, c in tally.items()} == {(kind, b): {b >= 0.8} for kind, b in tally}, dict(tally)
+
+
 # ---- op 8 -----------------------------------------------------------------------------------
 
 
