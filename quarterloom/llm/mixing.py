@@ -25,7 +25,8 @@ from .common import materialize, words_of
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MAX_RATE = 2
-NEWTON_ROUNDS = 14
+#: Rounds end when every source's words are this close to its target; more than NEWTON_ROUNDS are an error.
+TOLERANCE, NEWTON_ROUNDS = 1e-9, 200
 FIX_ROUNDS = 4
 #: Buckets over which the copies of one size class are dealt.
 BUCKETS = 256
@@ -62,6 +63,7 @@ def balance_rates(histogram: DataFrame, rounds: int = NEWTON_ROUNDS, cap: float
 
     Safeguarded Newton on the dual: each iteration is one aggregate by source, and
     the multiplier stays inside a bracket that shrinks by the sign of the gradient.
+    Rounds go on until every source is within TOLERANCE of its target.
     A source whose target is its cap has rate ``cap`` throughout.
     """
     h = histogram.where("size > 0")
@@ -80,13 +82,18 @@ def balance_rates(histogram: DataFrame, rounds: int = NEWTON_ROUNDS, cap: float
         words = F.col("n") * F.col("size") * r
         b = state.alias("s")
         grad = h.select("source", "size", "n").alias("h").join(b, F.col("h.source").eqNullSafe(F.col("s.source"))).groupBy("h.source").agg(F.sum(words).alias("got"), F.sum(F.when(r < cap, words * x).otherwise(0.0)).alias("slope"))
-        s = state.join(grad.withColumnRenamed("source", "g_source"), state["source"].eqNullSafe(F.col("g_source")))
+        s = state.drop("gap").join(grad.withColumnRenamed("source", "g_source"), state["source"].eqNullSafe(F.col("g_source")))
         below = F.col("got") < F.col("target")
         lo, hi = F.when(below, F.col("lam")).otherwise(F.col("lo")), F.when(below, F.col("hi")).otherwise(F.col("lam"))
         # Newton on log(got) = log(target): the curve is close to straight there
         step = F.col("lam") + F.when((F.col("slope") > 0) & (F.col("got") > 0), F.col("got") / F.col("slope") * F.log(F.col("target") / F.col("got")))
-        s = s.withColumns({"new_lo": lo, "new_hi": hi}).withColumn("new", F.when((step >= F.col("new_lo")) & (step <= F.col("new_hi")), step).otherwise((F.col("new_lo") + F.col("new_hi")) / 2))
-        state = materialize(s.select("source", "target", "source_size", "scale", F.when(F.col("done"), F.col("lam")).otherwise(F.col("new")).alias("lam"), F.col("new_lo").alias("lo"), F.col("new_hi").alias("hi"), "done"), "mix-state")
+        s = s.withColumns({"new_lo": lo, "new_hi": hi}).withColumn("new", F.when((step >= F.col("new_lo")) & (step <= F.col("new_hi")), step).otherwise(F.sinh((F.asinh("new_lo") + F.asinh("new_hi")) / 2)))
+        s = s.withColumn("gap", F.when(F.col("done"), 0.0).otherwise(F.abs(F.col("got") - F.col("target")) / F.greatest("target", F.lit(1))))
+        state = materialize(s.select("source", "target", "source_size", "scale", F.when(F.col("gap") <= TOLERANCE, F.col("lam")).otherwise(F.col("new")).alias("lam"), F.col("new_lo").alias("lo"), F.col("new_hi").alias("hi"), "done", "gap"), "mix-state")
+        if not (state.agg(F.max("gap")).first()[0] or 0.0) > TOLERANCE:
+            break
+    else:
+        raise RuntimeError(f"mixing rates did not converge in {rounds} rounds")
     t = state.select(F.col("source").alias("t_source"), "scale", "lam", "done")
     rate = F.when(F.col("size") == 0, 1.0).when(F.col("done"), float(cap)).otherwise(F.least(F.exp(F.col("lam") * F.col("size") / F.col("scale")), F.lit(float(cap))))
     return histogram.join(t, histogram["source"].eqNullSafe(F.col("t_source")), "left").withColumn("rate", F.coalesce(rate, F.lit(1.0))).drop("t_source", "scale", "lam", "done")

@@ -543,6 +543,17 @@ def test_mixing_targets_and_copies(spark):
     assert (again.copies == got.copies).all()
 
 
+def test_mixing_rates_reach_targets_of_extreme_sizes(spark):
+    rows = [("s", 1, 2_396_066, None), ("s", 407_033, 750, None), ("t", 7, 100, None), ("t", 9, 50, None)]
+    total = {x: sum(a * n for s, a, n, _ in rows if s == x) for x in "st"}
+    h = spark.createDataFrame([(s, a, n, total[s], int(total[s] * (1.99 if s == "s" else 0.7))) for s, a, n, _ in rows], "source string, size long, n long, source_size long, target long")
+    got = defaultdict(float)
+    for x in mixing.balance_rates(h).collect():
+        got[x["source"], x["target"]] += x["n"] * x["size"] * x["rate"]
+    assert all(abs(v / target - 1) < 1e-6 for (_, target), v in got.items()) and len(got) == 2
+
+
+
 def test_rates_meet_targets_and_are_tilted(spark):
     h = spark.createDataFrame([("a", s, n, 1000, t) for s, n, t in [(10, 30, 700.0), (50, 10, 700.0), (200, 1, 700.0)]], "source string, size long, n long, source_size long, target double")
     r = {x["size"]: x["rate"] for x in mixing.balance_rates(h).collect()}
