@@ -30,14 +30,14 @@ def calendar_arrays(long: DataFrame, back: int, ahead: int, value: str = "value"
     """
     row = F.struct("qord", F.col(value).alias("v"), *keep)
     g = long.groupBy("firm", "item").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    first, last = F.element_at("rows", 1)["qord"], F.element_at("rows", -1)["qord"]
-    by_quarter = F.map_from_arrays(F.col("rows.qord"), F.col("rows.v"))
-    g = g.withColumn("m", by_quarter).withColumn("first", first)
-    g = g.withColumn("axis", F.transform(F.sequence(first, last), lambda q: F.try_element_at(F.col("m"), q)))
-    out = g.select("firm", "item", "first", "axis", F.explode("rows").alias("r"))
+    nothing = lambda n: F.array_repeat(F.lit(None).cast(long.schema[value].dataType), n)
+    # each value, then a null for every quarter up to the next one
+    gap = lambda r, i: F.coalesce(F.get("rows", i + 1)["qord"] - r["qord"] - 1, F.lit(0)).cast("int")
+    axis = F.flatten(F.transform("rows", lambda r, i: F.concat(F.array(r["v"]), nothing(gap(r, i)))))
+    g = g.select("firm", "item", "rows", F.concat(nothing(F.lit(back)), axis, nothing(F.lit(ahead))).alias("axis"))
+    out = g.select("firm", "item", F.element_at("rows", 1)["qord"].alias("first"), "axis", F.explode("rows").alias("r"))
     at = (F.col("r.qord") - F.col("first")).cast("int")
-    past = F.transform(F.sequence(F.lit(0), F.lit(back)), lambda n: F.get("axis", at - n))
-    future = F.transform(F.sequence(F.lit(1), F.lit(ahead)), lambda n: F.get("axis", at + n)) if ahead else F.array().cast("array<double>")
+    past, future = F.reverse(F.slice("axis", at + 1, back + 1)), F.slice("axis", at + back + 2, ahead)
     return out.select("firm", "item", F.col("r.qord").alias("qord"), F.col("r.v").alias(value), *[F.col(f"r.{c}").alias(c) for c in keep], past.alias("past"), future.alias("future"))
 
 
@@ -65,11 +65,15 @@ def normal_arrays(cells: DataFrame, task: Task) -> DataFrame:
 def keep_rows(cells: DataFrame, first_quarters: DataFrame, task: Task) -> DataFrame:
     """Origins with enough history and something known.
 
-    Early: not before the ``min_lookback``-th quarter of the panel, and a known scale.
-    Late: over the firm-quarter's items, some level and some feature is known.
+    Early: not before the ``min_lookback``-th quarter of the panel (if it has more), and a
+    known ``size``, or scale in a table without sizes. Late: over the firm-quarter's items,
+    some level and some feature is known.
     """
-    start = first_quarters.select("qord").distinct().orderBy("qord").limit(task.min_lookback).agg(F.max("qord").alias("__start"))
-    early = cells.crossJoin(F.broadcast(start)).where((F.col("qord") >= F.col("__start")) & F.col("scale").isNotNull()).drop("__start")
+    n = task.min_lookback
+    some = first_quarters.select("qord").distinct().orderBy("qord").limit(n + 1)
+    start = some.agg(F.when(F.count("*") > n, F.element_at(F.array_sort(F.collect_list("qord")), n)).alias("__start"))
+    known = F.col("size" if "size" in cells.columns else "scale").isNotNull()
+    early = cells.crossJoin(F.broadcast(start)).where(F.coalesce(F.col("qord") >= F.col("__start"), F.lit(True)) & known).drop("__start")
     known = E.any_value(F.col("level")) | E.any_value(F.col("yoy"))
     alive = early.groupBy("firm", "qord").agg(F.bool_or(E.any_value(F.col("level"))).alias("a"), F.bool_or(known).alias("b")).where("a and b").select("firm", "qord")
     return early.join(alive, ["firm", "qord"], "left_semi")
@@ -108,11 +112,15 @@ def dummies(df: DataFrame, col: str, count: int, prefix: str) -> DataFrame:
 
 
 def wide_view(cells: DataFrame, items: Sequence[str], task: Task) -> DataFrame:
-    """One row a firm-quarter: ``{item}_level_i``, ``{item}_yoy_i``, ``{item}_t{h}``. For export."""
-    g = cells.groupBy("firm", "qord").pivot("item", list(items)).agg(F.first("level").alias("level"), F.first("yoy").alias("yoy"), F.first("target").alias("target"))
+    """One row a firm-quarter: ``{item}_level_i``, ``{item}_yoy_i``, ``{item}_t{h}``. For export.
+
+    A table with ``size`` also gets ``scale_level_0``.
+    """
+    size = [F.col("size").alias("scale_level_0")] if "size" in cells.columns else []
+    g = cells.groupBy("firm", "qord", *size).pivot("item", list(items)).agg(F.first("level").alias("level"), F.first("yoy").alias("yoy"), F.first("target").alias("target"))
     cols = []
     for i in items:
         cols += [F.get(f"{i}_level", F.lit(n)).alias(f"{i}_level_{n}") for n in range(task.levels)]
         cols += [F.get(f"{i}_yoy", F.lit(n)).alias(f"{i}_yoy_{n}") for n in range(task.yoy)]
         cols += [F.get(f"{i}_target", F.lit(n - 1)).alias(f"{i}_t{n}") for n in range(1, task.horizon + 1)]
-    return g.select("firm", "qord", *cols)
+    return g.select("firm", "qord", *(["scale_level_0"] if size else []), *cols)

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Task
 from ..functions import exprs as E
+from ..operators import gram, reshape
+from ..operators.hold import hold
 
-ALPHAS = (1e-4, 1e-3, 1e-2, 1e-1, 1.0, 10.0)
-L1_RATIOS = (0.1, 0.3, 0.5, 0.7, 0.9, 0.95, 1.0)
+# The public grid of the elastic net, and its parameters where no search is possible.
+ALPHAS = (0.01, 0.1, 1.0, 10.0, 100.0, 1000.0)
+L1_RATIOS = (0.01, 0.1, 0.3, 0.5, 0.7, 0.9, 0.99)
+UNSEARCHED = (1.0, 0.5)
 
 
 def truth_cells(cells: DataFrame, horizon: int, known_only: bool = False) -> DataFrame:
@@ -60,67 +62,65 @@ def fade(fit: DataFrame, test: DataFrame, horizon: int, min_rows: int = 100) ->
 # ---- linear family ----------------------------------------------------------------------
 
 
-def feature_rows(cells: DataFrame, items: Sequence[str]) -> DataFrame:
-    """``firm, qord, features, complete`` and ``targets`` (map item -> array) per firm-quarter."""
-    g = cells.groupBy("firm", "qord").agg(F.map_from_entries(F.collect_list(F.struct("item", F.struct("level", "yoy", "target")))).alias("m"))
-    parts = [F.concat(F.try_element_at("m", F.lit(i))["level"], F.try_element_at("m", F.lit(i))["yoy"]) for i in items]
-    g = g.select("firm", "qord", F.concat(*parts).alias("features"), F.transform_values("m", lambda _, v: v["target"]).alias("targets"))
-    return g.where(F.col("features").isNotNull()).where(F.forall("features", lambda x: x.isNotNull())).withColumn("x", array_to_vector(F.col("features").cast("array<double>")))
-
-
-def _labelled(rows: DataFrame, target: str, h: int) -> DataFrame:
-    return rows.select("firm", "qord", "x", F.get(F.try_element_at("targets", F.lit(target)), F.lit(h - 1)).cast("double").alias("y"))
+def feature_rows(cells: DataFrame, items: Sequence[str], targets: Sequence[str], horizons: Sequence[int], industries: int = 0) -> DataFrame:
+    """``firm, qord, x, y`` of the firm-quarters that know all features.
 
+    ``x``: level and yoy of all items, then ``size`` (if the table has it), then the 0/1
+    dummies of ``industries``. ``y``: each target at each horizon, null where unknown.
+    """
+    keys = [c for c in ("size", "industry_id") if c in cells.columns]
+    g = cells.groupBy("firm", "qord", *keys).agg(F.map_from_entries(F.collect_list(F.struct("item", F.struct("level", "yoy", "target")))).alias("m"))
+    of = lambda i, f: F.try_element_at("m", F.lit(i))[f]
+    parts = [F.concat(of(i, "level"), of(i, "yoy")) for i in items]
+    if "size" in keys:
+        parts.append(F.array("size"))
+    if industries and "industry_id" in keys:
+        parts.append(F.transform(F.sequence(F.lit(0), F.lit(industries - 1)), lambda i: F.coalesce((F.col("industry_id") == i).cast("float"), F.lit(0.0).cast("float"))))
+    y = [F.get(of(t, "target"), F.lit(h - 1)) for t in targets for h in horizons]
+    return _complete(g.select("firm", "qord", F.concat(*parts).cast("array<double>").alias("x"), F.array(*y).cast("array<double>").alias("y")))
 
-def elastic_net(fit: DataFrame, alpha: float, l1_ratio: float, max_iter: int = 1000):
-    """Least squares / 2 n + alpha (l1 |w| + (1 - l1) w^2 / 2), not standardised.
 
-    Spark scales the squared penalty by the label's deviation; the pair of its parameters
-    that gives this objective is computed here.
-    """
-    sd = fit.agg(F.stddev_pop("y")).first()[0] or 1.0
-    reg = alpha * l1_ratio + sd * alpha * (1 - l1_ratio)
-    return LinearRegression(featuresCol="x", labelCol="y", regParam=reg, elasticNetParam=alpha * l1_ratio / reg if reg else 0.0, standardization=False, maxIter=max_iter, tol=1e-9, solver="auto" if alpha == 0 else "l-bfgs").fit(fit)
+def wide_rows(wide: DataFrame, targets: Sequence[str], horizons: Sequence[int]) -> DataFrame:
+    """The same from a wide view, its features found by their names."""
+    x = reshape.feature_columns(wide.columns)
+    y = [F.col(c) if (c := f"{t}_t{h}") in wide.columns else F.lit(None) for t in targets for h in horizons]
+    return _complete(wide.select("firm", "qord", F.array(*x).cast("array<double>").alias("x"), F.array(*y).cast("array<double>").alias("y")))
 
 
-def search_elastic_net(train: DataFrame, val: DataFrame, alphas: Sequence[float] = ALPHAS, l1_ratios: Sequence[float] = L1_RATIOS) -> tuple[float, float]:
-    """(alpha, l1 ratio) of least validation error, fitted on train; the first on ties."""
-    best = (float("inf"), 1.0, 0.5)
-    for a in alphas:
-        for r in l1_ratios:
-            err = elastic_net(train, a, r).transform(val).agg(F.avg((F.col("prediction") - F.col("y")) * (F.col("prediction") - F.col("y")))).first()[0]
-            if err is not None and err < best[0]:
-                best = (err, a, r)
-    return best[1], best[2]
+def _complete(rows: DataFrame) -> DataFrame:
+    known = lambda v: v.isNotNull() & ~F.isnan(v)
+    return rows.where(F.col("x").isNotNull() & F.forall("x", known)).withColumn("y", F.transform("y", lambda v: F.when(known(v), v)))
 
 
-def linear_family(train: DataFrame, val: DataFrame, test: DataFrame, items: Sequence[str], targets: Sequence[str], horizons: Sequence[int], kind: str = "linear", reference: str | None = None, alphas: Sequence[float] = ALPHAS, l1_ratios: Sequence[float] = L1_RATIOS) -> DataFrame:
-    """One fit a (target, horizon) on complete train + val rows; predicts complete test rows.
+def fit_and_predict(train: DataFrame, val: DataFrame, test: DataFrame, targets: Sequence[str], horizons: Sequence[int], kind: str = "linear", reference: str | None = None, alphas: Sequence[float] = ALPHAS, l1_ratios: Sequence[float] = L1_RATIOS) -> DataFrame:
+    """``firm, target, origin, horizon, prediction`` from rows of ``firm, qord, x, y``.
 
-    ``kind`` is ``linear`` or ``elasticnet``; the latter's parameters are searched once a
-    horizon on the ``reference`` target. A target without fit rows predicts null.
+    One fit a (target, horizon) on train + val rows that know its label; predicts every
+    test row. ``kind`` is ``linear`` or ``elasticnet``; the latter's parameters are searched
+    once a horizon on the ``reference`` target. A label without fit rows predicts null.
     """
     if kind not in ("linear", "elasticnet"):
         raise ValueError(f"unknown kind {kind!r}")
-    tr, va, te = (feature_rows(c, items).persist() for c in (train, val, test))
-    if not te.limit(1).count():
+    first = test.select(F.size("x").alias("n")).first()
+    if first is None:
         raise ValueError("no test row has all features")
-    out = None
-    for h in horizons:
-        alpha, ratio = 0.0, 0.0
-        if kind == "elasticnet":
-            ref = reference or targets[0]
-            a, b = (_labelled(x, ref, h).where("y is not null") for x in (tr, va))
-            alpha, ratio = search_elastic_net(a, b, alphas, l1_ratios) if a.limit(1).count() and b.limit(1).count() else (1.0, 0.5)
-        for t in targets:
-            fit = _labelled(tr.unionByName(va), t, h).where("y is not null")
-            rows = te.select("firm", F.lit(t).alias("target"), F.col("qord").alias("origin"), F.lit(h).cast("long").alias("horizon"), "x")
-            if fit.limit(1).count():
-                rows = elastic_net(fit, alpha, ratio).transform(rows).select("firm", "target", "origin", "horizon", "prediction")
-            else:
-                rows = rows.select("firm", "target", "origin", "horizon", F.lit(None).cast("double").alias("prediction"))
-            out = rows if out is None else out.unionByName(rows)
-    return out
+    horizons = list(horizons)
+    width, labels, params = first["n"], len(targets) * len(horizons), None
+    if kind == "elasticnet":
+        at = list(targets).index(reference or targets[0]) * len(horizons)
+        own = lambda d: d.select("x", F.slice("y", at + 1, len(horizons)).alias("y"))
+        best = gram.search(own(train), own(val), width, len(horizons), alphas, l1_ratios)
+        params = [best.get(h, UNSEARCHED) for _ in targets for h in range(len(horizons))]
+    weights = gram.coefficients(train.unionByName(val), width, labels, params)
+    names, hs = F.array(*[F.lit(t) for t in targets]), F.array(*[F.lit(h).cast("long") for h in horizons])
+    p = gram.predict(test.select("firm", F.col("qord").alias("origin"), "x"), weights)
+    return p.select("firm", F.get(names, F.floor(F.col("label") / len(horizons)).cast("int")).alias("target"), "origin", F.get(hs, F.pmod("label", F.lit(len(horizons)))).alias("horizon"), "prediction")
+
+
+def linear_family(train: DataFrame, val: DataFrame, test: DataFrame, items: Sequence[str], targets: Sequence[str], horizons: Sequence[int], kind: str = "linear", reference: str | None = None, alphas: Sequence[float] = ALPHAS, l1_ratios: Sequence[float] = L1_RATIOS, industries: int = 0) -> DataFrame:
+    """``fit_and_predict`` over cell tables."""
+    rows = [hold(feature_rows(c, items, targets, horizons, industries)) for c in (train, val, test)]
+    return fit_and_predict(*rows, targets, horizons, kind, reference, alphas, l1_ratios)
 
 
 BASELINES: dict[str, Callable[..., DataFrame]] = {
@@ -140,7 +140,7 @@ def run_baselines(names: Sequence[str], train: DataFrame, val: DataFrame, test:
             out[n] = BASELINES[n](fit, test, task)
         else:
             own = list(items or task.items)
-            out[n] = linear_family(train, val, test, own, own, range(1, task.horizon + 1), n, "niq" if "niq" in own else own[0])
+            out[n] = linear_family(train, val, test, own, own, range(1, task.horizon + 1), n, "niq" if "niq" in own else own[0], industries=task.industries)
     return out
 
 

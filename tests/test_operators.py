@@ -110,7 +110,7 @@ def test_pools_lag_over_surviving_rows_and_sweep_matches_pandas(spark):
     assert stats.sweep_k(stats.pool(cells, StatLags(1, (0, 2))), grid).first()["k"] == best
 
 
-def test_imputation_matches_row_by_row_solution(spark):
+def test_imputation_matches_row_by_row_solution(spark, monkeypatch):
     rng = np.random.default_rng(0)
     data = rng.normal(size=(40, 3)) @ rng.normal(size=(3, 8)) + 0.1 * rng.normal(size=(40, 8))
     data[rng.random(data.shape) < 0.2] = np.nan
@@ -128,10 +128,30 @@ def test_imputation_matches_row_by_row_solution(spark):
         f = np.linalg.solve(lam[o].T @ lam[o] / 8 + 0.01 / 8 * np.eye(3), lam[o].T @ x[i, o] / 8) if o.any() else np.zeros(3)
         assert np.allclose(got[i], np.where(o, data[i], lam @ f + means), atol=1e-8)
     assert (got[known] == data[known]).all() and not np.isnan(got).any()
+    # in Spark: several quarters, blocks smaller than a quarter
+    both = np.concatenate([data, data[::-1] * 1.5 + 0.2])
+    rows_ = [(f"f{i}", 1 + (i >= 40), "train", [None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(both)]
+    df = spark.createDataFrame(rows_, "firm string, qord int, split string, features array<float>")
+    for size in (1000, 7):
+        monkeypatch.setattr(impute, "BLOCK_ROWS", size)
+        out = {r["firm"]: r["features"] for r in impute.impute_features(df, 3).collect()}
+        want = np.concatenate([got, impute.fill_by_factors(data[::-1] * 1.5 + 0.2, 3)])
+        assert np.allclose([out[f"f{i}"] for i in range(80)], want, atol=2e-4)
     few = spark.createDataFrame([("a", 1, "train", [1.0, None])], "firm string, qord int, split string, features array<float>")
     assert impute.impute_features(few, 3).first()["features"] == [1.0, None]
 
 
+def test_size_shapes_the_imputed_values(spark):
+    rng = np.random.default_rng(4)
+    rows_ = [(f"f{i}", 1, "train", float(s), item, [float(s + rng.normal())] if rng.random() > 0.3 else [None], [float(rng.normal())], [1.0]) for i in range(60) for s in [rng.normal()] for item in ("x", "y")]
+    c = spark.createDataFrame(rows_, "firm string, qord int, split string, size float, item string, level array<float>, yoy array<float>, target array<float>")
+    got = {(r["firm"], r["item"]): r["level"][0] for r in impute.impute_cells(c, ["x", "y"], 1, 1, 2).collect()}
+    wide = np.array([[np.nan if v is None else v for k in (2 * i, 2 * i + 1) for v in (*rows_[k][5], *rows_[k][6])] + [rows_[2 * i][3]] for i in range(60)], dtype=np.float32).astype(float)
+    want = impute.fill_by_factors(wide, 2)
+    assert np.allclose([[got[(f"f{i}", "x")], got[(f"f{i}", "y")]] for i in range(60)], want[:, [0, 2]], atol=1e-4)
+    assert not np.allclose(impute.fill_by_factors(wide[:, :4], 2)[:, 0], want[:, 0], atol=1e-3)
+
+
 def test_dense_ids_and_dummies(spark):
     df = spark.createDataFrame([("b",), ("a",), ("b",), (None,)], "n string")
     assert rows(panel.dense_ids(df, "n", "i"), "i") == [("a", 0), ("b", 1)]
