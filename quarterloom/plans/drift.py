@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -16,18 +18,41 @@ class Thresholds:
     coverage: float = 0.02
 
 
-def column_stats(df: DataFrame, columns: list[str], exact: bool = True) -> DataFrame:
+QUANTILES = (0.05, 0.5, 0.95)
+#: An approximate quantile's rank is off by a share of 1 / ACCURACY at most; its bracket allows for SLACK.
+ACCURACY, SLACK = 10_000, 3e-4
+
+
+def column_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     """``column, n_finite, coverage, mean, sd, p05, p50, p95`` of numeric columns, rounded to 6.
 
     Moments are of the population, percentiles interpolated; an empty column has only
-    its counts. With ``exact`` off the percentiles are approximate, for very large inputs.
+    its counts. Percentiles are exact, by two passes of bounded memory: approximate ones
+    bracket each, then the bracket's few values, folded by value, are ranked.
     """
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column string, n_finite long, coverage double, mean double, sd double, p05 double, p50 double, p95 double")
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "column", "x")
-    x = F.when(F.col("x").isNotNull() & ~F.isnan("x") & (F.abs("x") < float("inf")), F.col("x"))
-    q = F.percentile(x, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))) if exact else F.percentile_approx(x, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)), 10000)
-    g = long.groupBy("column").agg(F.count(x).alias("n_finite"), F.count("*").alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"), q.alias("q"))
+    finite = F.col("x").isNotNull() & ~F.isnan("x") & (F.abs("x") < float("inf"))
+    x = F.when(finite, F.col("x"))
+    near = [min(max(q + d, 0.0), 1.0) for q in QUANTILES for d in (-SLACK, SLACK)]
+    g = long.groupBy("column").agg(F.count(x).alias("n_finite"), F.count("*").alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"), F.percentile_approx(x, near, ACCURACY).alias("near"))
+    # where each quantile lies: between the values of ranks floor(at) and floor(at) + 1, from 0
+    few, inf = F.col("n_finite") <= ACCURACY, float("inf")
+    at = F.array(*[F.struct(F.lit(i).alias("i"), F.when(few, -inf).otherwise(F.get("near", F.lit(2 * i))).alias("lo"), F.when(few, inf).otherwise(F.get("near", F.lit(2 * i + 1))).alias("hi"), (F.lit(q) * (F.col("n_finite") - 1)).alias("at")) for i, q in enumerate(QUANTILES)])
+    brackets = g.where("n_finite > 0").select(F.col("column").alias("b_column"), F.explode(at).alias("b")).select("b_column", "b.*")
+    met = long.where(finite).join(F.broadcast(brackets), F.col("column") == F.col("b_column"))
+    inside = F.when(F.col("x") >= F.col("lo"), F.col("x"))
+    folded = met.where("x <= hi").groupBy("column", "i", "at", inside.alias("v")).agg(F.count("*").alias("n"))
+    w = Window.partitionBy("column", "i").orderBy(F.col("v").asc_nulls_first())
+    ranked = folded.withColumn("upto", F.sum("n").over(w))
+    value = lambda k: F.min(F.when(F.col("v").isNotNull() & (F.col("upto") > k), F.col("v")))
+    low = F.floor("at")
+    ends = ranked.groupBy("column", "i", "at").agg(value(low).alias("a"), value(F.ceil("at")).alias("b"))
+    exact = ends.groupBy(F.col("column").alias("e_column")).agg(F.map_from_entries(F.collect_list(F.struct("i", F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.floor("at"))))).alias("q"))
     r = lambda c: F.round(c, 6)
-    return g.select("column", "n_finite", r(F.col("n_finite") / F.col("n")).alias("coverage"), r(F.col("mean")).alias("mean"), r(F.col("sd")).alias("sd"), *[r(F.get("q", F.lit(i))).alias(p) for i, p in enumerate(("p05", "p50", "p95"))])
+    j = g.join(exact, F.col("column") == F.col("e_column"), "left")
+    return j.select("column", "n_finite", r(F.col("n_finite") / F.col("n")).alias("coverage"), r(F.col("mean")).alias("mean"), r(F.col("sd")).alias("sd"), *[r(F.try_element_at("q", F.lit(i))).alias(p) for i, p in enumerate(("p05", "p50", "p95"))])
 
 
 def content_hash(df: DataFrame, keys: list[str], column: str) -> DataFrame:
@@ -85,6 +110,15 @@ def fingerprint(df: DataFrame, keys: list[str]) -> dict[str, str]:
     return {k: v or "0" for k, v in r.asDict().items()}
 
 
+def digest_of(prints: dict[str, str]) -> str:
+    """One digest of a table's column digests."""
+    return hashlib.md5(json.dumps(sorted(prints.items())).encode()).hexdigest()
+
+
+def to_json(doc: dict) -> str:
+    return json.dumps(doc, indent=1, sort_keys=True, default=str)
+
+
 def verify(built: dict[str, dict[str, str]], reference: dict[str, dict[str, str]]) -> tuple[dict[str, str], bool]:
     """(status of each artifact: ok, mismatch, missing or extra; whether all match)."""
     status = {n: "missing" if n not in built else "extra" if n not in reference else "ok" if built[n] == reference[n] else "mismatch" for n in {*built, *reference}}

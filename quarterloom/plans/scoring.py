@@ -6,9 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import density as D
 from ..functions import exprs as E
+from ..operators.joins import canonical_firm
 
 KEYS = ("firm", "target", "origin", "horizon")
 ALIASES = {"firm_id": "firm", "quarter": "origin", "forecast_horizon": "horizon"}
@@ -17,6 +19,48 @@ METRICS = ("r2", "mae", "mse", "nll", "crps", "z2", "cover95", "avg_obs")
 ASCENDING = ("mae", "mse", "nll", "crps")
 
 
+def canonical_keys(df: DataFrame, text: bool = True) -> DataFrame:
+    """Keys in the form in which truth, forecasts and masks meet.
+
+    Firms: numbers' text if every id of this table is a number, else as they are (``text``
+    False leaves numeric ids alone). Origins: quarter ordinals, also from dates, times and
+    their text. Horizons: truncated to whole numbers.
+    """
+    firm, origin = df.schema["firm"].dataType, df.schema["origin"].dataType
+    if isinstance(firm, T.StringType):
+        df = canonical_firm(df)
+    elif text:
+        df = df.withColumn("firm", F.col("firm").cast("long").cast("string"))
+    if isinstance(origin, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        df = df.withColumn("origin", E.quarter_ordinal(F.col("origin")).cast("long"))
+    elif isinstance(origin, T.StringType):
+        df = df.withColumn("origin", F.coalesce(F.expr("try_cast(origin as bigint)"), E.quarter_ordinal(F.expr("try_cast(origin as date)")).cast("long")))
+    if "horizon" in df.columns:
+        df = df.withColumn("horizon", F.expr("try_cast(horizon as double)").cast("long"))
+    return df
+
+
+def match_counts(forecast: DataFrame, truth: DataFrame) -> DataFrame:
+    """One row: ``n_rows, n_unmatched, n_duplicate, n_finite`` of a forecast against the truth's grid.
+
+    Rows whose key the truth doesn't have are unmatched; those beyond the first of a key on the grid
+    are duplicates; finite counts predictions on the grid.
+    """
+    f, grid = canonical_keys(forecast), canonical_keys(truth.select(*KEYS)).select(*[F.col(k).alias(f"t_{k}") for k in KEYS])
+    ok = E.finite(F.col("prediction").cast("double"))
+    per = f.groupBy(*KEYS).agg(F.count("*").alias("n"), F.count_if(ok).alias("ok"))
+    on = None
+    for k in KEYS:
+        c = F.col(k) == F.col(f"t_{k}")
+        on = c if on is None else on & c
+    hit = F.col("t_firm").isNotNull()
+    zero = F.lit(0).cast("long")
+    return per.join(grid, on, "left").agg(
+        F.coalesce(F.sum("n"), zero).alias("n_rows"), F.coalesce(F.sum(F.when(~hit, F.col("n"))), zero).alias("n_unmatched"),
+        F.coalesce(F.sum(F.when(hit, F.col("n") - 1)), zero).alias("n_duplicate"), F.coalesce(F.sum(F.when(hit, F.col("ok"))), zero).alias("n_finite"),
+    )
+
+
 def first_wins(forecast: DataFrame, order: Sequence[str] = ("ord",), values: Sequence[str] = ("prediction",)) -> DataFrame:
     """One row a key: the first in ``order``, with its nulls."""
     return forecast.groupBy(*KEYS).agg(F.min_by(F.struct(*values), F.struct(*order)).alias("v")).select(*KEYS, "v.*")
@@ -43,9 +87,14 @@ def scored_cells(truth: DataFrame, forecasts: dict[str, DataFrame], families: di
     """One row a (cell, model): ``model, residual, common, change`` and density scores.
 
     ``common`` is true where truth and base are finite, every model's residual is, and
-    the mask, if any, holds the cell. All models meet in one aggregate by cell.
+    the mask, if any, holds the cell. All models meet in one aggregate by cell. Keys are
+    made canonical on every side first.
     """
     families = families or {}
+    sides = [truth, *forecasts.values(), *([mask] if mask is not None else [])]
+    text = any(isinstance(d.schema["firm"].dataType, T.StringType) for d in sides)
+    truth, forecasts = canonical_keys(truth, text), {n: canonical_keys(f, text) for n, f in forecasts.items()}
+    mask = canonical_keys(mask, text) if mask is not None else None
     known = truth.where(F.col("actual").isNotNull() & ~F.isnan("actual"))
     rows = None
     for name, f in forecasts.items():

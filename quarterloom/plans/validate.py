@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from ..config import FEATURE_SETS
 from ..functions import exprs as E
 from ..operators.panel import rename_aliases
+from ..sources import files
 from .scoring import ALIASES, KEYS
 
 REQUIRED = (*KEYS, "prediction")
@@ -108,12 +109,33 @@ def write_forecast(df: DataFrame, path: str, targets: Sequence[str] | None = Non
     """Validate, then write to a side path and rename, so that ``path`` is whole or absent."""
     if validate:
         validate_forecast(df, targets, horizon, strict=True)
-    spark = df.sparkSession
     side = f"{path}.partial-{uuid.uuid4().hex[:8]}"
     forecast_payload(df).write.mode("errorifexists").parquet(side)
-    jvm = spark._jvm
-    src, dst = jvm.org.apache.hadoop.fs.Path(side), jvm.org.apache.hadoop.fs.Path(path)
-    fs = src.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(dst, True)
-    if not fs.rename(src, dst):
-        raise OSError(f"could not publish {path}")
+    files.publish(df.sparkSession, side, path)
+
+
+def write_forecast_blocks(blocks: Iterable[DataFrame], path: str, targets: Sequence[str] | None = None, horizon: int = 20, validate: bool = True) -> int:
+    """Append blocks one by one to a side path, then publish it; returns the number of blocks.
+
+    Each block is validated by itself; one without any value is allowed and an empty one is
+    skipped, but a forecast of no rows, or of no values at all, is an error and leaves nothing.
+    """
+    spark, side, n = None, f"{path}.partial-{uuid.uuid4().hex[:8]}", 0
+    try:
+        for b in blocks:
+            spark = b.sparkSession
+            if not b.limit(1).count():
+                continue
+            if validate:
+                validate_forecast(b, targets, horizon, strict=True, require_values=False)
+            forecast_payload(b).write.mode("append").parquet(side)
+            n += 1
+        if not n:
+            raise InvalidForecast("no rows")
+        if validate:
+            validate_forecast(spark.read.parquet(side), targets, horizon, strict=True)
+        files.publish(spark, side, path)
+    finally:
+        if spark is not None:
+            files.remove(spark, side)
+    return n

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..config import Task, raw_columns, year_chunks
+from ..config import Task, raw_columns
 
 NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)?")
 CODE = re.compile(r"[A-Za-z0-9]{1,8}")
@@ -50,8 +50,15 @@ def read_raw_panel(spark: SparkSession, path: str, task: Task) -> DataFrame:
 
 
 def read_forecast(spark: SparkSession, path: str) -> DataFrame:
-    """A forecast table with canonical names; row order columns for first-wins."""
-    return read_table(spark, path, aliases={"firm_id": "firm", "quarter": "origin", "forecast_horizon": "horizon"}, order=True)
+    """A forecast table with canonical names; row order columns for first-wins.
+
+    Missing columns are an error here; what a table's values break, ``plans.validate`` finds.
+    """
+    df = read_table(spark, path, aliases={"firm_id": "firm", "quarter": "origin", "forecast_horizon": "horizon"}, order=True)
+    lost = [c for c in ("firm", "target", "origin", "horizon", "prediction") if c not in df.columns]
+    if lost:
+        raise ValueError(f"{path} lacks {', '.join(lost)}")
+    return df
 
 
 def read_ids(spark: SparkSession, path: str, name: str, id_col: str) -> DataFrame:
@@ -93,35 +100,30 @@ def union_chunks(chunks: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-def source_query(table: str, columns: Sequence[str], filters: Sequence[tuple[str, str]], first: int, last: int, date: str = "datadate") -> str:
-    """The projected, filtered query for one window of years; every name is checked."""
-    for n in (table, date, *columns, *(f for f, _ in filters)):
+def source_query(table: str, columns: Sequence[str], filters: Sequence[tuple[str, str]], first: int, last: int, date: str = "datadate", order: Sequence[str] = ()) -> str:
+    """The projected, filtered query for one window of years; every name is checked.
+
+    ``order`` fixes the order of rows, and with it which of two rows of a key comes last.
+    """
+    for n in (table, date, *order, *(c for c in columns if c != "*"), *(f for f, _ in filters)):
         if not NAME.fullmatch(n):
             raise ValueError(f"{n!r} is no column or table name")
     for _, v in filters:
         if not CODE.fullmatch(v):
             raise ValueError(f"{v!r} is no filter code")
     where = " AND ".join([*(f"{c} = '{v}'" for c, v in filters), f"{date} BETWEEN '{first}-01-01' AND '{last}-12-31'"])
-    return f"SELECT {', '.join(columns)} FROM {table} WHERE {where}"
+    return f"SELECT {', '.join(columns)} FROM {table} WHERE {where}" + (f" ORDER BY {', '.join(order)}" if order else "")
+
+
+def filter_source(df: DataFrame, filters: Sequence[tuple[str, str]], first: int, last: int, date: str = "datadate") -> DataFrame:
+    """The same filters on a table: equal codes and whole years, as predicates a scan can use."""
+    out = df.where(F.col(date).between(F.lit(f"{first}-01-01").cast("date"), F.lit(f"{last}-12-31").cast("date")))
+    for c, v in filters:
+        out = out.where(F.col(c) == v)
+    return out
 
 
 def chunk_name(first: int, last: int, columns: Sequence[str], filters: Sequence[tuple[str, str]]) -> str:
     """A cache name that only an identical request has."""
     sig = hashlib.md5(json.dumps([sorted(columns), sorted(map(list, filters))]).encode()).hexdigest()[:12]
     return f"chunk_{first}_{last}_{sig}"
-
-
-def download(spark: SparkSession, url: str, table: str, folder: str, task: Task, years: int = 5, properties: dict[str, str] | None = None) -> DataFrame:
-    """Pull a source table over JDBC in windows of years, each kept and reused by signature.
-
-    A window is one partition and one connection: the source forbids more logins.
-    """
-    columns, parts = raw_columns(task.items), []
-    for first, last in year_chunks(task.first_year, task.last_year, years):
-        path = f"{folder}/{chunk_name(first, last, columns, task.row_filters)}"
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-        if not jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):
-            query = source_query(table, columns, task.row_filters, first, last)
-            spark.read.jdbc(url, f"({query}) q", properties=properties or {}).coalesce(1).write.mode("overwrite").parquet(path)
-        parts.append(spark.read.parquet(path))
-    return nan_to_null(union_chunks(parts))

@@ -63,6 +63,23 @@ def test_crps_equals_quadrature(spark, family, df):
     assert got == pytest.approx(want, abs=2e-3)
 
 
+def test_normal_cdf_equals_the_library():
+    x = np.concatenate([np.linspace(-9, 9, 2001), [0.0, 0.6629, -0.6630, 5.6568, 5.657]])
+    assert np.allclose(D.normal_cdf(x), [0.5 * math.erfc(-v / math.sqrt(2)) for v in x], rtol=1e-13, atol=1e-300)
+
+
+def test_erf_column_equals_the_library(spark):
+    xs = [-30.0, -4.5, -4.0, -1.0, -0.3, 0.0, 1e-9, 0.46875, 0.5, 3.9, 4.1, 7.0, None]
+    got = values(spark, D.erf(F.col("x")), xs)
+    assert got[-1] is None and np.allclose(got[:-1], [math.erf(v) for v in xs[:-1]], rtol=1e-13)
+
+
+@pytest.mark.parametrize("nu", [1.0, 2.0, 3.0, 4.0, 5.0, 8.0, 31.0])
+def test_t_in_columns_equals_the_continued_fraction(spark, nu):
+    xs = [-40.0, -2.0, -0.1, 0.0, 0.7, 3.0, 12.0]
+    assert np.allclose(values(spark, D._t_centre(F.col("x"), nu), xs), 2 * D.student_cdf(np.array(xs), nu) - 1, atol=1e-9)
+
+
 def test_t_cdf_limits():
     assert D.student_cdf(np.array([0.0]), 5)[0] == 0.5
     assert D.student_cdf(np.array([2.015]), 5)[0] == pytest.approx(0.95, abs=1e-4)
@@ -84,6 +101,26 @@ def test_feature_sets_and_columns():
     assert raw_columns(["niq"], scale=Scale())[6:] == ["niq", "ltq", "seqq", "atq"]
 
 
+def test_config_documents(tmp_path):
+    import json
+
+    from quarterloom.config import load_feature_sets, load_task, resolve_sets
+
+    specs = {"a": {"computed": ["c1"], "balance_sheet": ["b1", "b2"], "include_sets": ["b"]}, "b": {"cash_flow": ["b2", "f"], "include_sets": ["a", "b"]}}
+    assert resolve_sets(specs) == {"a": ["b2", "f", "b1", "c1"], "b": ["b1", "b2", "c1", "f"]}
+    with pytest.raises(KeyError, match="nope"):
+        resolve_sets({"a": {"include_sets": ["nope"]}})
+    path = tmp_path / "t.json"
+    path.write_text(json.dumps({"feature_sets": {"mine": {"include_sets": ["core"], "computed": ["wcapq"]}}, "feature_set": "mine", "horizon": 3, "scale": {"add": ["atq"], "constant": 1.0}, "excluded_sic": [[1, 2]], "mu": {"scale": 1, "item": [0, 4]}}))
+    t = load_task(str(path))
+    assert t.items == (*FEATURE_SETS["core"], "wcapq") and t.horizon == 3 and t.scale == Scale(("atq",), ("atq",), 1.0) and t.excluded_sic == ((1, 2),) and t.mu.item == (0, 4)
+    assert load_feature_sets(str(path))["mine"][-1] == "wcapq" and load_feature_sets(str(path))["pf_full"] == FEATURE_SETS["pf_full"]
+    for bad in ({"nothing": 1}, {"feature_set": "nope"}):
+        path.write_text(json.dumps(bad))
+        with pytest.raises((ValueError, KeyError)):
+            load_task(str(path))
+
+
 def test_year_chunks():
     assert year_chunks(1970, 1976, 3) == [(1970, 1972), (1973, 1975), (1976, 1976)]
     for bad in ((1970, 1976, 0), (1976, 1970, 1)):

@@ -69,19 +69,99 @@ def test_fade_recovers_line_and_falls_back(spark):
     assert got["few"] == (0.0, 2.0) and got["flat"] == pytest.approx((0.0, 0.5)) and got["none"] == (1.0, 0.0)
 
 
-def test_elastic_net_meets_its_objective(spark):
-    rng = np.random.default_rng(2)
-    x = rng.normal(size=(200, 3))
-    y = x @ [1.0, -0.5, 0.0] + 0.3 + 0.1 * rng.normal(size=200)
-    df = spark.createDataFrame([(float(b), [float(v) for v in a]) for a, b in zip(x, y)], "y double, a array<double>").selectExpr("y", "a")
-    from pyspark.ml.functions import array_to_vector
-
-    m = baselines.elastic_net(df.select("y", array_to_vector("a").alias("x")), 0.1, 0.5)
-    w, b = np.array(m.coefficients), m.intercept
-    loss = lambda w, b: ((y - x @ w - b) ** 2).mean() / 2 + 0.1 * (0.5 * np.abs(w).sum() + 0.25 * (w**2).sum())
-    best = loss(w, b)
-    for _ in range(200):
-        assert best <= loss(w + 1e-3 * rng.normal(size=3), b + 1e-3 * rng.normal()) + 1e-9
+def labelled(spark, n=400, seed=2):
+    """Rows with five features, of which the last two are a size and a dummy, and labels with gaps."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, 5))
+    x[:, 4] = rng.random(n) < 0.3
+    y = np.column_stack([x @ [1.0, -0.5, 0.0, 2.0, 0.7] + 0.3, x @ [0.0, 0.2, 0.4, -1.0, 0.0] - 1, x @ np.ones(5)]) + 0.1 * rng.normal(size=(n, 3))
+    y[rng.random(y.shape) < 0.2] = np.nan
+    y[:, 2] = np.nan
+    rows = [(f"f{i}", i % 7, x[i].tolist(), [None if np.isnan(v) else float(v) for v in y[i]]) for i in range(n)]
+    return x, y, spark.createDataFrame(rows, "firm string, qord int, x array<double>, y array<double>")
+
+
+def test_least_squares_equal_row_by_row_solutions(spark, monkeypatch):
+    from quarterloom.operators import gram
+
+    x, y, rows = labelled(spark)
+    for held in (1 << 30, 8 * 7 * 7):  # all labels at once; one group a label
+        monkeypatch.setattr(gram, "GROUP_BYTES", held)
+        w = gram.coefficients(rows.repartition(3), 5, 3)
+        for t in (0, 1):
+            ok = ~np.isnan(y[:, t])
+            want = np.linalg.lstsq(np.column_stack([np.ones(ok.sum()), x[ok]]), y[ok, t], rcond=None)[0]
+            assert np.allclose(w[t], want, atol=1e-8)
+        assert np.isnan(w[2]).all()
+    got = baselines.fit_and_predict(rows, rows.limit(0), rows.where("qord = 0"), ["a"], [1, 2, 3])
+    r = {(r["firm"], r["horizon"]): r["prediction"] for r in got.collect()}
+    assert r[("f0", 3)] is None and r[("f7", 1)] == pytest.approx(w[0, 0] + x[7] @ w[0, 1:])
+    with pytest.raises(ValueError):
+        baselines.fit_and_predict(rows, rows, rows.limit(0), ["a"], [1, 2, 3])
+    with pytest.raises(ValueError):
+        baselines.fit_and_predict(rows, rows, rows, ["a"], [1, 2, 3], "ridge")
+
+
+def test_collinear_features_get_the_least_norm(spark):
+    from quarterloom.operators import gram
+
+    x, y, rows = labelled(spark)
+    twice = rows.withColumn("x", F.concat("x", F.array(F.col("x")[0])))
+    w = gram.coefficients(twice, 6, 3)[0]
+    ok = ~np.isnan(y[:, 0])
+    want = np.linalg.lstsq(np.column_stack([x[ok], x[ok, 0]]) - np.append(x[ok].mean(axis=0), x[ok, 0].mean()), y[ok, 0] - y[ok, 0].mean(), rcond=None)[0]
+    assert np.allclose(w[1:], want, atol=1e-6)
+
+
+def test_elastic_net_meets_its_objective_and_its_search_the_best_of_the_grid(spark):
+    from quarterloom.operators import gram
+
+    x, y, rows = labelled(spark)
+    ok = ~np.isnan(y[:, 0])
+    xs, ys = x[ok], y[ok, 0]
+    s = gram.Sums(5)
+    z = np.column_stack([np.ones(len(xs)), xs, ys])
+    s.m = z.T @ z
+    rng = np.random.default_rng(0)
+    for alpha, ratio in ((0.1, 0.5), (0.5, 0.99), (1.0, 0.01)):
+        b, w = gram.elastic_net(s, alpha, ratio)
+        loss = lambda b, w: ((ys - xs @ w - b) ** 2).mean() / 2 + alpha * (ratio * np.abs(w).sum() + (1 - ratio) / 2 * (w**2).sum())
+        best = loss(b, w)
+        assert all(best <= loss(b + 1e-3 * rng.normal(), w + 1e-3 * rng.normal(size=5)) + 1e-12 for _ in range(100))
+        # the conditions of a minimum, feature by feature
+        grad = xs.T @ (ys - xs @ w - b) / len(ys) - alpha * (1 - ratio) * w
+        assert np.allclose(grad[w != 0], alpha * ratio * np.sign(w[w != 0]), atol=1e-7) and (np.abs(grad[w == 0]) <= alpha * ratio + 1e-7).all()
+        assert s.squared_error(b, w) == pytest.approx(((ys - xs @ w - b) ** 2).mean())
+    train, val = rows.where("qord < 5"), rows.where("qord >= 5")
+    found = gram.search(train, val, 5, 3, baselines.ALPHAS, baselines.L1_RATIOS)
+    assert set(found) == {0, 1}
+    inside = np.arange(len(x)) % 7 < 5
+    want, least = None, np.inf
+    for a in baselines.ALPHAS:
+        for r in baselines.L1_RATIOS:
+            m = ok & inside
+            z = np.column_stack([np.ones(m.sum()), x[m], y[m, 0]])
+            s.m = z.T @ z
+            b, w = gram.elastic_net(s, a, r)
+            err = ((y[ok & ~inside, 0] - x[ok & ~inside] @ w - b) ** 2).mean()
+            if err < least * (1 - 1e-12):
+                want, least = (a, r), err
+    assert found[0] == want
+
+
+def test_features_hold_size_and_dummies_in_cells_and_wide_views(spark):
+    data = [(f, q, 0.5 + i, i % 3, item, [float(i + q), 1.0], [0.5], [float(i), None]) for i, f in enumerate("abcd") for q in (1, 2) for item in ("x", "y")]
+    c = spark.createDataFrame(data, "firm string, qord int, size float, industry_id int, item string, level array<float>, yoy array<float>, target array<float>")
+    r = {(r["firm"], r["qord"]): r for r in baselines.feature_rows(c, ["x", "y"], ["x"], [1, 2], 2).collect()}
+    assert r[("b", 2)]["x"] == [3.0, 1.0, 0.5, 3.0, 1.0, 0.5, 1.5, 0.0, 1.0] and r[("b", 2)]["y"] == [1.0, None]
+    task = Task(levels=2, yoy=1, horizon=2, industries=2)
+    from quarterloom.operators import cells as C
+
+    wide = C.dummies(C.wide_view(c, ["x", "y"], task).join(c.select("firm", "qord", "industry_id").distinct(), ["firm", "qord"]), "industry_id", 2, "industry_")
+    w = {(r["firm"], r["qord"]): r for r in baselines.wide_rows(wide, ["x"], [1, 2]).collect()}
+    assert {k: (sorted(v["x"]), v["y"]) for k, v in r.items()} == {k: (sorted(v["x"]), v["y"]) for k, v in w.items()}
+    hole = c.withColumn("size", F.when(F.col("firm") != "a", F.col("size")))
+    assert baselines.feature_rows(hole, ["x", "y"], ["x"], [1], 2).count() == 6
 
 
 FC = "firm string, target string, origin long, horizon double, prediction double, sigma double"
@@ -187,7 +267,8 @@ def test_build_end_to_end(spark, tmp_path):
     assert late.count() == 0
     build.write(b, str(tmp_path), task, "t")
     wide = spark.read.parquet(str(tmp_path / "tabular__t"))
-    assert {"revtq_level_0", "niq_yoy_7", "atq_t4", "industry_47", "split"} <= set(wide.columns)
+    assert {"revtq_level_0", "niq_yoy_7", "atq_t4", "industry_47", "split", "scale_level_0"} <= set(wide.columns)
+    assert c.where("size is null or abs(size) > 6").count() == 0
     assert wide.count() == c.select("firm", "qord").distinct().count()
     tuples = spark.read.parquet(str(tmp_path / "tuple__t"))
     assert dict(tuples.dtypes)["account_id"] == "bigint" and tuples.where("split = 'val'").agg(F.min("quarter")).first()[0] == (2001 * 4 + 3 - 7879) - 10
@@ -211,11 +292,61 @@ def test_build_rejects_what_it_cannot_use(spark):
     raw = spark.createDataFrame(raw_panel(2, 2000, 2001))
     with pytest.raises(ValueError, match="lacks"):
         build.clean_panel(raw.drop("fqtr"), Task())
+    with pytest.raises(ValueError, match="no rows"):
+        build.build(raw.limit(0), Task(items=("niq",)))
     twice = spark.createDataFrame([("x", 1, 0.0, 1.0, 1.0), ("x", 1, 0.0, 1.0, 1.0)], "item string, qord int, mu double, sigma double, k double")
     with pytest.raises(ValueError, match="two statistics"):
         build.build(raw, Task(items=("niq",)), frozen_stats=twice)
 
 
+def test_build_of_no_rows_is_an_error(spark, tmp_path):
+    raw = spark.createDataFrame(raw_panel(2, 2000, 2001))
+    old = spark.createDataFrame([(i, 4, 0.0, 1.0, 1.0) for i in ("niq", "scale")], "item string, qord int, mu double, sigma double, k double")
+    with pytest.raises(ValueError, match="no row survives"):
+        build.write(build.build(raw, Task(items=("niq",), impute=False), frozen_stats=old), str(tmp_path), Task(items=("niq",)), "t")
+    assert not (tmp_path / "cells__t").exists() and not (tmp_path / "tabular__t").exists()
+
+
+def test_keys_meet_across_spellings_and_unmatched_rows_are_counted(spark):
+    truth = spark.createDataFrame([(1, "x", 8000, 1, 2.0, 1.0), (2, "x", 8000, 1, 3.0, 1.0)], "firm long, target string, origin long, horizon long, actual double, base double")
+    f = spark.createDataFrame([("0001", "x", "2000-03-31", 1.7, 2.5), ("0001", "x", "2000-01-01", 1.0, 9.0), ("0002", "x", "2000-02-29", 1.0, None), ("0003", "x", "2000-03-31", 1.0, 1.0)], "firm string, target string, origin string, horizon double, prediction double")
+    assert scoring.match_counts(f, truth).first().asDict() == {"n_rows": 4, "n_unmatched": 1, "n_duplicate": 1, "n_finite": 2}
+    one = scoring.evaluate(truth, {"m": f.limit(1).withColumn("origin", F.to_date("origin"))}).where("level = 'global'").first()
+    assert one["n_complete"] == 1 and one["mae"] == pytest.approx(0.5)
+    named = f.withColumn("firm", F.concat(F.lit("k"), "firm"))
+    assert scoring.match_counts(named, truth).first()["n_unmatched"] == 4
+
+
+def test_forecast_blocks_append_and_refuse_nothing(spark, tmp_path):
+    row = lambda o, p: spark.createDataFrame([("001", "niq", o, 1.0, p, 1.0)], FC)
+    path = str(tmp_path / "f.parquet")
+    assert validate.write_forecast_blocks([row(1, 0.5), row(2, None), row(3, 0.1).limit(0)], path) == 2
+    assert spark.read.parquet(path).count() == 2
+    for bad in ([], [row(1, None)], [row(1, 0.5), row(1, 0.7)], [row(1, 0.5).drop("target")]):
+        with pytest.raises(validate.InvalidForecast):
+            validate.write_forecast_blocks(bad, str(tmp_path / "g.parquet"))
+    assert [p.name for p in tmp_path.iterdir()] == ["f.parquet"]
+
+
+def test_masks_on_disk_by_kind(spark, tmp_path):
+    truth = spark.createDataFrame([(f, t, q, h, 1.0, 0.0) for f in ("01", "02") for t in ("x", "y") for q in (8000, 8001) for h in (1, 2)], "firm string, target string, origin long, horizon long, actual double, base double")
+    grid = masks.grid_rows(scoring.canonical_keys(truth))
+    assert [tuple(r) for r in grid.orderBy("grid_row").collect()] == [(0, "1", 8000), (1, "1", 8001), (2, "2", 8000), (3, "2", 8001)]
+    cells = spark.createDataFrame([(0,), (7,), (15,)], "cell long")
+    npy, rows, keys = str(tmp_path / "m.npy"), str(tmp_path / "rows"), str(tmp_path / "keys")
+    masks.write_bits(spark, npy, masks.pack(cells, 16))
+    masks.write_grid_rows(grid, rows)
+    want = {("1", "x", 8000, 1), ("2", "x", 8001, 2), ("2", "y", 8001, 2)}
+    assert {tuple(r) for r in masks.resolve(spark, npy, truth, None, 2).collect()} == want
+    assert {tuple(r) for r in masks.resolve(spark, npy, truth.where("firm = '02'"), rows, 2).collect()} == want - {("1", "x", 8000, 1)}
+    with pytest.raises(ValueError):  # without the index the bits must fit
+        masks.resolve(spark, npy, truth.where("firm = '02'"), None, 2)
+    truth.select("target", "horizon", F.col("firm").alias("firm_id"), F.col("origin").alias("quarter")).write.parquet(keys)
+    assert masks.resolve(spark, keys, truth, None, 2).count() == 16
+    with pytest.raises(ValueError, match="lacks"):
+        masks.resolve(spark, npy, truth, keys, 2)
+
+
 def test_sources(spark, tmp_path):
     with pytest.raises(ValueError):
         readers.source_query("db.quarterly", ["a; drop"], [], 1970, 1971)
