@@ -17,7 +17,8 @@ from .functions import density as D
 from .functions import exprs as E
 from .operators import cells as C
 from .operators import impute, joins, panel, reshape, stats
-from .plans import baselines, drift, masks, scoring, validate
+from .plans import baselines, build, drift, masks, scoring, validate
+from .sources import download, readers
 from .streaming import ingest
 
 FLAGSHIP = "q_metrics_grouping_sets"
@@ -187,15 +188,15 @@ def q_asof_backward(spark, d):
     return joins.asof_backward(left, right, ["user_id"], "ts", "seen", ["view_id", "view_value"], ["view_id"]).select("event_id", "view_id", "view_value")
 
 
-LINKS = """links AS (SELECT o_custkey AS firm, o_custkey * 10 AS permno, min(o_orderdate) AS s, CASE WHEN o_custkey % 4 = 0 THEN NULL ELSE list_sort(list(o_orderdate))[(count(*) + 1) // 2] END AS e FROM orders WHERE o_custkey % 2 = 0 GROUP BY 1)"""
+LINKS = """links AS (SELECT o_custkey AS firm, o_custkey * 10 AS permno, min(o_orderdate) AS s, CASE WHEN max(o_orderpriority) = '5-LOW' THEN NULL ELSE max(o_orderdate) END AS e FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)"""
 
 
 @query(f"""WITH {LINKS} SELECT o_orderkey, permno, CAST(last_day(o_orderdate) AS DATE) AS jdate, CAST(year(o_orderdate) AS BIGINT) AS year
 FROM orders LEFT JOIN links ON links.firm = o_custkey WHERE permno IS NULL OR (coalesce(s <= o_orderdate, true) AND coalesce(o_orderdate <= e, true))""")
 def q_interval_join(spark, d):
+    # customers without a finished order have no link; some links are open
     o = read(spark, d, "orders").withColumnRenamed("o_custkey", "firm")
-    links = o.where("firm % 2 = 0").groupBy("firm").agg(F.min("o_orderdate").alias("s"), F.expr("element_at(array_sort(collect_list(o_orderdate)), int((count(*) + 1) div 2))").alias("m"))
-    links = links.select("firm", (F.col("firm") * 10).alias("permno"), "s", F.when(F.col("firm") % 4 != 0, F.col("m")).alias("e"))
+    links = o.where("o_orderstatus = 'F'").groupBy("firm").agg((F.col("firm") * 10).alias("permno"), F.min("o_orderdate").alias("s"), F.when(F.max("o_orderpriority") != "5-LOW", F.max("o_orderdate")).alias("e"))
     out = joins.with_calendar(joins.interval_join(o, links, "firm", "o_orderdate", "s", "e", ["permno"]), "o_orderdate")
     return out.select("o_orderkey", "permno", "jdate", F.col("year").cast("long").alias("year"))
 
@@ -304,13 +305,10 @@ def q_reg_stats_mu_sigma(spark, d):
     return out.select("item", "qord", r6(F.col("mu")).alias("mu"), r6(F.col("sigma")).alias("sigma"))
 
 
-GRID = (0.01, 0.05, 0.2, 0.7, 1.5, 4.0, 12.0, 40.0)
-
-
-@query(f"""WITH {RATIOS}, k AS (SELECT unnest({list(GRID)}) AS k), g AS (SELECT item, k, kurtosis(asinh(CAST(k AS DOUBLE) * r)) AS g FROM r_sig, k GROUP BY 1, 2)
-SELECT item, CAST(arg_min(k, round(abs(g - 3.0), 9)) AS DOUBLE) AS k FROM g GROUP BY item""")
+@query(f"""WITH {RATIOS}, k AS (SELECT unnest([{", ".join(f"CAST({k!r} AS DOUBLE)" for k in stats.K_GRID)}]) AS k), g AS (SELECT item, k, kurtosis(asinh(k * r)) AS g FROM r_sig, k GROUP BY 1, 2)
+SELECT item, arg_min(k, round(abs(g - 3.0), 9)) AS k FROM (SELECT * FROM g ORDER BY item, k) GROUP BY item""")
 def q_k_sweep(spark, d):
-    return stats.sweep_k(stats.pool(_ratio_base(spark, d), STAT_TASK.sigma), GRID)
+    return stats.sweep_k(stats.pool(_ratio_base(spark, d), STAT_TASK.sigma))
 
 
 # ---- rows, masks, splits, views -------------------------------------------------------------
@@ -369,11 +367,22 @@ def q_wide_view(spark, d):
     return w.select("firm", "qord", "tot_level_0", "mx_level_0", "tot_level_2", "tot_t3")
 
 
-@query(f"""WITH {TRUTH_C} SELECT firm, target, origin, CAST(horizon AS BIGINT) AS horizon, actual, base FROM truth t WHERE target = 'tot' AND horizon <= 4""")
+@query(f"""WITH {TRUTH_C} SELECT firm, target, origin, CAST(horizon AS BIGINT) AS horizon, actual, base FROM truth""")
 def q_wide_truth(spark, d):
-    w = C.wide_view(cells_c(spark, d), ("tot", "mx"), Task(horizon=4, yoy=0))
-    t = reshape.wide_truth(w.where("tot_level_0 is not null"))
-    return t.where("target = 'tot'").select("firm", "target", "origin", "horizon", "actual", "base")
+    return reshape.wide_truth(C.wide_view(cells_c(spark, d), ITEMS, Task(horizon=HORIZON, yoy=0)))
+
+
+@query(f"""WITH {TRUTH_C} SELECT firm, target, origin, CAST(horizon AS BIGINT) AS horizon, actual AS prediction FROM truth""")
+def q_wide_predictions(spark, d):
+    return reshape.wide_predictions(C.wide_view(cells_c(spark, d), ITEMS, Task(horizon=HORIZON, yoy=0)))
+
+
+@query(f"""WITH {LONG_C}, s AS (SELECT firm, qord, item, value AS level FROM long_c WHERE value >= 12) SELECT l.firm, l.qord, l.item FROM long_c l
+WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.firm = l.firm AND s.item = l.item AND s.qord BETWEEN l.qord - 3 AND l.qord)""")
+def q_all_null_rows(spark, d):
+    # a level counts where it reaches 12; rows that know none of their four levels
+    c = cells_c(spark, d).withColumn("level", F.transform("level", lambda v: F.when(v >= 12, v)))
+    return c.where(E.all_null(F.col("level"))).select("firm", "qord", "item")
 
 
 # ---- forecasts and scoring ------------------------------------------------------------------
@@ -396,20 +405,39 @@ def q_fade_forecast(spark, d):
     return f.withColumn("prediction", F.round("prediction", 5))
 
 
-@query(f"""WITH {TRUTH_C}, f AS (SELECT firm, target, origin, horizon, base + k AS prediction, k AS ord FROM truth CROSS JOIN (SELECT unnest(range(0, 3)) AS k) WHERE origin % 2 = 0
+@query(f"""WITH {TRUTH_C}, f AS (SELECT firm, target, origin, horizon, CASE WHEN actual >= base THEN base + k END AS prediction, k AS ord FROM truth CROSS JOIN (SELECT unnest(range(0, 3)) AS k)
 UNION ALL SELECT firm + 10000000, target, origin, horizon, 1.0, 0 FROM truth),
-g AS (SELECT firm, target, origin, horizon, min_by(prediction, ord) AS prediction FROM f GROUP BY 1, 2, 3, 4)
+g AS (SELECT firm, target, origin, horizon, max(CASE WHEN ord = 0 THEN prediction END) AS prediction FROM f GROUP BY 1, 2, 3, 4)
 SELECT g.firm, g.target, g.origin, CAST(g.horizon AS BIGINT) AS horizon, round(CAST(CAST(prediction AS FLOAT) - CAST(actual AS FLOAT) AS DOUBLE), 5) AS residual
 FROM g JOIN truth t ON t.firm = g.firm AND t.target = g.target AND t.origin = g.origin AND t.horizon = g.horizon""")
 def q_residuals_first_wins(spark, d):
+    # three rows a key, of which the first counts; predictions are missing where the value fell
     t = truth_c(spark, d)
-    f = t.where("origin % 2 = 0").withColumn("k", F.explode(F.array(*[F.lit(i).cast("long") for i in range(3)])))
-    f = f.select("firm", "target", "origin", "horizon", (F.col("base") + F.col("k")).alias("prediction"), F.col("k").alias("ord"))
+    f = t.withColumn("k", F.explode(F.array(*[F.lit(i).cast("long") for i in range(3)])))
+    f = f.select("firm", "target", "origin", "horizon", F.when(F.col("actual") >= F.col("base"), F.col("base") + F.col("k")).alias("prediction"), F.col("k").alias("ord"))
     off = t.select((F.col("firm") + 10000000).alias("firm"), "target", "origin", "horizon", F.lit(1.0).alias("prediction"), F.lit(0).cast("long").alias("ord"))
     r = scoring.residuals(scoring.first_wins(f.unionByName(off)), t)
     return r.select("firm", "target", "origin", "horizon", F.round(F.col("residual").cast("double"), 5).alias("residual"))
 
 
+@query(f"""WITH {TRUTH_C}, f AS (SELECT *, CASE WHEN actual >= base THEN base END AS p FROM truth)
+SELECT 3 * count(*) AS n_rows, count(*) AS n_unmatched, count(*) AS n_duplicate, CAST(2 * count(p) AS BIGINT) AS n_finite FROM f""")
+def q_match_counts(spark, d):
+    # ids with leading zeros and origins as dates meet numbers and quarters; one row in three is off the grid
+    t = truth_c(spark, d)
+    f = t.select(F.lpad(F.col("firm").cast("string"), 8, "0").alias("firm"), "target", E.quarter_end(F.col("origin")).alias("origin"), (F.col("horizon") + 0.5).alias("horizon"), F.when(F.col("actual") >= F.col("base"), F.col("base")).alias("prediction"))
+    off = f.withColumn("firm", F.concat(F.lit("9"), "firm"))
+    return scoring.match_counts(f.unionByName(f).unionByName(off), t)
+
+
+@query(f"""WITH {TRUTH_C} SELECT firm, target, origin, CAST(horizon AS BIGINT) AS horizon FROM truth WHERE actual IS NOT NULL AND actual <= base""")
+def q_build_mask(spark, d):
+    # of two rows a key either may hold the value, unlike in scoring
+    t = truth_c(spark, d)
+    f = t.select(*scoring.KEYS, F.explode(F.array(F.lit(None).cast("double"), F.when(F.col("actual") <= F.col("base"), F.col("base")))).alias("prediction"))
+    return masks.build_mask(f, t)
+
+
 def _forecasts(spark, d) -> tuple[DataFrame, dict[str, DataFrame]]:
     fit, test = fit_and_test(spark, d)
     truth = baselines.truth_cells(test, HORIZON)
@@ -459,10 +487,10 @@ def q_pivot_metrics(spark, d):
     return scoring.pivot_metric(_metrics(spark, d), "by_target", "mae", ["naive", "fade"])
 
 
-@query(f"""WITH {JOINED} SELECT target, count(*) AS n FROM scored s WHERE common AND model = 'fade' AND horizon <= 3 AND firm % 5 <> 0 GROUP BY target""")
+@query(f"""WITH {JOINED} SELECT target, count(*) AS n FROM scored s WHERE common AND model = 'fade' AND actual >= base GROUP BY target""")
 def q_masked_sample(spark, d):
     truth, forecasts = _forecasts(spark, d)
-    mask = truth.where("horizon <= 3 and firm % 5 <> 0")
+    mask = truth.where("actual >= base")
     c = scoring.scored_cells(truth, forecasts, mask=mask)
     return c.where("common and model = 'fade'").groupBy("target").agg(F.count("*").alias("n"))
 
@@ -502,12 +530,17 @@ def q_calibration(spark, d):
     return _density(spark, d).select("event_id", r6(D.z_squared(F.col("res"), F.col("sigma"))).alias("z2"), D.covered95(F.col("res"), F.col("sigma")).alias("cover95"))
 
 
-@query()
+@query(f"""WITH {DENSITY}, y AS (SELECT *, res / sigma AS w FROM x), e AS (SELECT *, w * w / 2 AS h,
+CASE WHEN w = 0 THEN 0.0 WHEN abs(w) > 8 THEN 1.0 ELSE list_sum(list_transform(range(0, 200), lambda n: exp((2 * n + 1) * ln(abs(w) / sqrt(2.0)) - lgamma(n + 1.5) - w * w / 2))) END AS series FROM y)
+SELECT event_id, round(sigma * (abs(w) * series + 2 * exp(-h) / sqrt(2 * pi()) - 1 / sqrt(pi())), 6) AS crps FROM e""")
 def q_crps_gaussian(spark, d):
     return _density(spark, d).select("event_id", r6(D.crps(F.col("res"), F.col("sigma"))).alias("crps"))
 
 
-@query()
+@query(f"""WITH {DENSITY}, y AS (SELECT *, res / sigma AS w, atan(res / sigma / sqrt(5.0)) AS a FROM x), e AS (SELECT *, 2 / pi() * (a + sin(a) * cos(a) * (1 + 2 * cos(a) * cos(a) / 3)) AS centre,
+exp(lgamma(3.0) - lgamma(2.5)) / sqrt(5 * pi()) * power(1 + w * w / 5, -3.0) AS pdf,
+exp(lgamma(4.5) + 2 * lgamma(3.0) - 0.5 * ln(pi()) - lgamma(5.0) - 2 * lgamma(2.5)) AS b FROM y)
+SELECT event_id, round(sigma * (w * centre + 2 * pdf * (5 + w * w) / 4 - 2 * sqrt(5.0) / 4 * b), 6) AS crps FROM e""")
 def q_crps_student_t(spark, d):
     return _density(spark, d).select("event_id", r6(D.crps(F.col("res"), F.col("sigma"), "student_t", 5)).alias("crps"))
 
@@ -561,55 +594,207 @@ def q_validate_submission(spark, d):
     return c.select("n_rows", "null_firm", "fractional_horizon", "horizon_out_of_range", "nonfinite", "bad_sigma", "unknown_target_rows", "largest", "n_duplicate")
 
 
-@query(f"""WITH {TRUTH_C}, g AS (SELECT firm, origin, row_number() OVER (ORDER BY firm, origin) - 1 AS grid_row FROM (SELECT DISTINCT firm, origin FROM truth)), n AS (SELECT count(*) AS n FROM g)
-SELECT t.firm, t.target, t.origin, CAST(t.horizon AS BIGINT) AS horizon, CAST((CASE t.target WHEN 'mx' THEN 0 WHEN 'n' THEN 1 ELSE 2 END * {HORIZON} + t.horizon - 1) * n.n + g.grid_row AS BIGINT) AS cell
-FROM truth t JOIN g USING (firm, origin), n WHERE t.actual IS NOT NULL AND t.firm % 3 <> 0""")
-def q_mask_realign(spark, d):
+GRID_C = f"""g AS (SELECT firm, origin, row_number() OVER (ORDER BY firm, origin) - 1 AS grid_row FROM (SELECT DISTINCT firm, origin FROM truth)), n AS (SELECT count(*) AS n FROM g),
+addressed AS (SELECT t.*, CAST((CASE t.target WHEN 'mx' THEN 0 WHEN 'n' THEN 1 ELSE 2 END * {HORIZON} + t.horizon - 1) * n.n + g.grid_row AS BIGINT) AS cell FROM truth t JOIN g USING (firm, origin), n)"""
+
+
+def _grid_c(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, int, list[str]]:
+    """(truth, its grid, the known cells' addresses, rows, targets); grid and addresses hang on one truth."""
     t = truth_c(spark, d)
-    rows = t.select("firm", "origin").distinct()
-    grid = panel_rows(rows)
-    n = rows.count()
-    names = sorted(ITEMS)
+    grid, names = masks.grid_rows(t), sorted(ITEMS)
+    rows = t.select("firm", "origin").distinct().count()
     tid = F.array_position(F.array(*[F.lit(i) for i in names]), F.col("target")) - 1
-    cells = t.where("actual is not null").join(grid, ["firm", "origin"]).select(masks.cell_address(tid, F.col("horizon"), F.col("grid_row"), HORIZON, n).alias("cell"))
-    keys = masks.bits_to_keys(cells, grid, names, HORIZON, n)
-    kept = masks.realign(keys, rows.where("firm % 3 <> 0"))
-    return kept.join(grid, ["firm", "origin"]).select("firm", "target", "origin", "horizon", masks.cell_address(tid, F.col("horizon"), F.col("grid_row"), HORIZON, n).alias("cell"))
+    cells = t.where("actual is not null").join(grid, ["firm", "origin"]).select(masks.cell_address(tid, F.col("horizon"), F.col("grid_row"), HORIZON, rows).alias("cell"))
+    return t, grid, cells, rows, names
 
 
-def panel_rows(rows: DataFrame) -> DataFrame:
-    """Number (firm, origin) rows from 0 in order, in two distributed steps.
+@query(f"""WITH {TRUTH_C}, {GRID_C} SELECT firm, target, origin, CAST(horizon AS BIGINT) AS horizon, cell FROM addressed a
+WHERE actual IS NOT NULL AND EXISTS (SELECT 1 FROM long_c n WHERE n.firm = a.firm AND n.qord = a.origin AND n.item = 'n' AND n.value > 0.7)""")
+def q_mask_realign(spark, d):
+    # the other build has only the firm-quarters with several orders
+    t, grid, cells, rows, names = _grid_c(spark, d)
+    there = t.where("target = 'n' and base > 0.7").select("firm", "origin")
+    kept = masks.realign(masks.bits_to_keys(cells, grid, names, HORIZON, rows), there)
+    tid = F.array_position(F.array(*[F.lit(i) for i in names]), F.col("target")) - 1
+    return kept.join(grid, ["firm", "origin"]).select("firm", "target", "origin", "horizon", masks.cell_address(tid, F.col("horizon"), F.col("grid_row"), HORIZON, rows).alias("cell"))
 
-    Counts by firm give each firm's first number; rows then count within their firm.
-    """
-    per = rows.groupBy("firm").agg(F.count("*").alias("n"))
-    per = per.select(F.col("firm").alias("g_firm"), (F.sum("n").over(Window.orderBy("firm")) - F.col("n")).alias("first"))
-    own = rows.withColumn("i", F.row_number().over(Window.partitionBy("firm").orderBy("origin")) - 1)
-    return own.join(per, F.col("firm") == F.col("g_firm")).select("firm", "origin", (F.col("first") + F.col("i")).alias("grid_row"))
 
+@query(f"""WITH {TRUTH_C}, {GRID_C} SELECT cell FROM addressed WHERE actual IS NOT NULL""")
+def q_mask_bits(spark, d):
+    _, _, cells, rows, names = _grid_c(spark, d)
+    total = len(names) * HORIZON * rows
+    return masks.unpack(spark, masks.pack(cells, total), total)
 
-# ---- models without SQL form ------------------------------------------------------------------
 
+# ---- dictionaries, types, sources ---------------------------------------------------------
 
-@query()
+
+@query("""WITH a AS (SELECT o_orderpriority AS name, dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS id FROM orders GROUP BY 1),
+b AS (SELECT o_orderpriority AS name, dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS id FROM orders WHERE o_orderpriority <> '3-MEDIUM' GROUP BY 1)
+SELECT coalesce(a.id, b.id) AS id, a.name AS a_name, b.name AS b_name FROM a FULL JOIN b ON a.id = b.id WHERE a.name IS DISTINCT FROM b.name ORDER BY 1 LIMIT 5""")
+def q_id_differences(spark, d):
+    o = read(spark, d, "orders")
+    ids = lambda x: panel.dense_ids(x, "o_orderpriority", "id")
+    return drift.compare_ids(ids(o), ids(o.where("o_orderpriority <> '3-MEDIUM'")), "o_orderpriority", "id")
+
+
+@query("""SELECT lpad(CAST(o_custkey AS VARCHAR), 6, '0') AS firm, o_orderstatus AS target, o_orderdate AS origin, CAST(o_shippriority + 1 AS BIGINT) AS horizon,
+round(CAST(CAST(o_totalprice AS FLOAT) AS DOUBLE), 3) AS prediction, CAST(CAST(0.5 AS FLOAT) AS DOUBLE) AS sigma FROM (SELECT *, 1 AS o_shippriority FROM orders)""")
+def q_forecast_payload(spark, d):
+    o = read(spark, d, "orders").select(F.lpad(F.col("o_custkey").cast("string"), 6, "0").alias("firm_id"), F.col("o_orderstatus").alias("target"), F.col("o_orderdate").alias("quarter"), F.lit(2.0).alias("forecast_horizon"), F.col("o_totalprice").alias("prediction"), F.lit(0.5).alias("sigma"))
+    return validate.forecast_payload(o).withColumns({"prediction": F.round(F.col("prediction").cast("double"), 3), "sigma": F.col("sigma").cast("double")})
+
+
+@query("""WITH x AS (SELECT o_orderkey, substr(o_orderpriority, 1, 1) AS a, o_orderpriority AS b, CAST(o_totalprice AS VARCHAR) AS c FROM orders)
+SELECT count(*) FILTER (try_cast(a AS BIGINT) IS NULL) AS a, count(*) FILTER (b IS NOT NULL) AS b, count(*) FILTER (try_cast(c AS DOUBLE) IS NULL) AS c, CAST(sum(try_cast(a AS BIGINT)) AS BIGINT) AS total FROM x""")
+def q_declared_types(spark, d):
+    x = read(spark, d, "orders").select("o_orderkey", F.substring("o_orderpriority", 1, 1).alias("a"), F.col("o_orderpriority").alias("b"), F.col("o_totalprice").cast("string").alias("c"))
+    typed, lost = readers.coerce_declared(x, {"a": "integer", "b": "numeric", "c": "double precision", "absent": "date"})
+    return lost.crossJoin(typed.agg(F.sum("a").alias("total")))
+
+
+@query("""SELECT o_orderstatus, CAST(count(*) AS BIGINT) AS n, CAST(sum(CAST(o_custkey AS BIGINT)) AS DOUBLE) AS total, count(*) FILTER (o_orderstatus = 'F') AS n_clerk FROM orders GROUP BY 1""")
+def q_union_chunks(spark, d):
+    # one chunk has the customer as text and a column that the others lack
+    o = read(spark, d, "orders").select("o_orderstatus", "o_custkey")
+    parts = [o.where("o_orderstatus = 'F'").withColumns({"o_custkey": F.col("o_custkey").cast("string"), "clerk": F.lit("x")}), o.where("o_orderstatus = 'O'"), o.where("o_orderstatus not in ('F', 'O')")]
+    u = readers.union_chunks(parts)
+    return u.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum("o_custkey").alias("total"), F.count("clerk").alias("n_clerk"))
+
+
+@query("""SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' AND o_orderdate BETWEEN DATE '1994-01-01' AND DATE '1996-12-31'""")
+def q_source_filters(spark, d):
+    o = read(spark, d, "orders")
+    return readers.filter_source(o, (("o_orderstatus", "F"), ("o_orderpriority", "1-URGENT")), 1994, 1996, "o_orderdate").select("o_orderkey")
+
+
+@query("""WITH h AS (SELECT o_custkey AS k, o_orderdate AS t, CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS sich FROM orders WHERE o_orderstatus = 'F'),
+j AS (SELECT o_orderkey, o_custkey, o_orderdate, (SELECT h.sich FROM h WHERE h.k = o.o_custkey AND h.t <= o.o_orderdate ORDER BY h.t DESC, h.sich DESC LIMIT 1) AS sich FROM orders o),
+l AS (SELECT o_custkey AS k, min(o_orderdate) AS s, max(o_orderdate) AS e, min(o_orderkey) AS permno FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
+SELECT o_orderkey, sich, permno, CAST(year(o_orderdate) AS BIGINT) AS year FROM j LEFT JOIN l ON l.k = j.o_custkey WHERE (sich IS NULL OR NOT (sich BETWEEN 4 AND 5)) AND (l.k IS NULL OR o_orderdate BETWEEN s AND e)""")
+def q_source_chain(spark, d):
+    # industry codes as of each date, the sector filter, then links by their dates
+    o = read(spark, d, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("date"))
+    source = download.Source(key="gvkey", date="datadate", industry_codes=("sich",))
+    raw = o.select("o_orderkey", F.col("o_custkey").alias("gvkey"), F.col("o_orderdate").alias("datadate"))
+    done = o.where("o_orderstatus = 'F'")
+    codes = done.select(F.col("o_custkey").alias("gvkey"), F.col("o_orderdate").alias("datadate"), F.substring("o_orderpriority", 1, 1).cast("long").alias("sich"))
+    links = done.groupBy(F.col("o_custkey").alias("gvkey")).agg(F.min("o_orderdate").alias("linkdt"), F.max("o_orderdate").alias("linkenddt"), F.min("o_orderkey").alias("lpermno"), F.lit(1).alias("lpermco"))
+    coded = panel.keep_unless_in(download.attach_industry(raw, codes, source), "sich", [(4, 5)])
+    return download.attach_links(coded, links, source).select("o_orderkey", "sich", "permno", F.col("year").cast("long").alias("year"))
+
+
+# ---- a whole build with given statistics --------------------------------------------------
+
+SINGLE = "round(CAST(CAST({0} AS FLOAT) AS DOUBLE), 4)"
+BUILD_TASK = Task(items=ITEMS, train_end=TRAIN_END, val_end=VAL_END, horizon=HORIZON, scale=Scale(("tot",), ("n",)), impute=False)
+
+
+@query(f"""WITH {PANEL_C}, raw AS (SELECT firm, qord, 'tot' AS item, CAST(tot AS DOUBLE) AS value FROM panel_c UNION ALL SELECT firm, qord, 'n', CAST(n AS DOUBLE) FROM panel_c UNION ALL SELECT firm, qord, 'mx', mx FROM panel_c),
+st AS (SELECT DISTINCT qord, i.item FROM panel_c, (SELECT unnest(['tot', 'n', 'mx']) AS item) i WHERE i.item <> 'mx' OR qord // 4 >= 1994),
+sc AS (SELECT firm, qord, abs(tot) + 1e-3 AS scale FROM panel_c),
+ax AS (SELECT DISTINCT unnest(range(lo, hi + 1)) AS q FROM (SELECT min(qord) AS lo, max(qord) AS hi FROM panel_c GROUP BY firm)), q4 AS (SELECT max(q) AS q FROM (SELECT q FROM ax ORDER BY q LIMIT 4)),
+z AS (SELECT o.firm, o.qord, o.item, l.lag, (asinh(2.5 * (v.value / sc.scale)) - 0.5) / 0.75 AS z FROM raw o JOIN sc ON sc.firm = o.firm AND sc.qord = o.qord JOIN st ON st.item = o.item AND st.qord = o.qord
+  CROSS JOIN (SELECT unnest(range(-{HORIZON}, 12)) AS lag) l JOIN raw v ON v.firm = o.firm AND v.item = o.item AND v.qord = o.qord - l.lag),
+g AS (SELECT firm, qord, item, max(z) FILTER (lag = 0) AS l0, max(z) FILTER (lag = 3) AS l3, max(z) FILTER (lag = 0) - max(z) FILTER (lag = 4) AS y0, max(z) FILTER (lag = -1) AS t1, max(z) FILTER (lag = -{HORIZON}) AS t8,
+  CASE WHEN qord // 4 <= {TRAIN_END} THEN 'train' WHEN qord // 4 <= {VAL_END} THEN 'val' ELSE 'test' END AS split, CASE WHEN qord // 4 <= {TRAIN_END} THEN {TRAIN_END * 4 + 3} WHEN qord // 4 <= {VAL_END} THEN {VAL_END * 4 + 3} END AS e FROM z GROUP BY 1, 2, 3)
+SELECT r.firm, r.qord, r.item, {SINGLE.format('(asinh(0.001 * sc.scale) - 0.25) / 1.5')} AS size,
+  CASE WHEN r.qord // 4 <= {TRAIN_END} THEN 'train' WHEN r.qord // 4 <= {VAL_END} THEN 'val' ELSE 'test' END AS split,
+  {SINGLE.format('greatest(least(l0, 6.0), -6.0)')} AS level_0, {SINGLE.format('CASE WHEN l3 IS NOT NULL THEN greatest(least(l3, 6.0), -6.0) END')} AS level_3, {SINGLE.format('CASE WHEN y0 IS NOT NULL THEN greatest(least(y0, 8.4852), -8.4852) END')} AS yoy_0,
+  {SINGLE.format('CASE WHEN t1 IS NOT NULL AND (e IS NULL OR r.qord + 1 <= e) THEN greatest(least(t1, 6.0), -6.0) END')} AS t1, {SINGLE.format(f'CASE WHEN t8 IS NOT NULL AND (e IS NULL OR r.qord + {HORIZON} <= e) THEN greatest(least(t8, 6.0), -6.0) END')} AS t8
+FROM raw r JOIN sc ON sc.firm = r.firm AND sc.qord = r.qord JOIN q4 ON r.qord >= q4.q LEFT JOIN g ON g.firm = r.firm AND g.qord = r.qord AND g.item = r.item""")
+def q_build_cells(spark, d):
+    # levels, changes and targets in the origin's space; an item without statistics in early quarters
+    p = panel_c(spark, d)
+    raw = p.select(F.col("firm").cast("string").alias("gvkey"), E.quarter_end(F.col("qord")).alias("datadate"), F.floor(F.col("qord") / 4).alias("fyearq"), (F.col("qord") % 4 + 1).alias("fqtr"), *[F.col(i).cast("double").alias(i) for i in ITEMS])
+    frozen = p.select("qord").distinct().withColumn("item", F.explode(F.array(*[F.lit(i) for i in (*ITEMS, "scale")])))
+    own = F.col("item") == "scale"
+    frozen = frozen.where((F.col("item") != "mx") | (F.col("qord") >= 1994 * 4)).select("item", "qord", F.when(own, 0.25).otherwise(0.5).alias("mu"), F.when(own, 1.5).otherwise(0.75).alias("sigma"), F.when(own, 0.001).otherwise(2.5).alias("k"))
+    c = build.build(raw, BUILD_TASK, frozen).cells
+    r4 = lambda x: F.round(x.cast("double"), 4)
+    at = lambda a, i: r4(F.get(a, F.lit(i)))
+    return c.select(F.col("firm").cast("long").alias("firm"), F.col("qord").cast("long").alias("qord"), "item", r4(F.col("size")).alias("size"), "split", at("level", 0).alias("level_0"), at("level", 3).alias("level_3"), at("yoy", 0).alias("yoy_0"), at("target", 0).alias("t1"), at("target", HORIZON - 1).alias("t8"))
+
+
+# ---- imputation and linear models -----------------------------------------------------------
+
+FACTORS, WIDTH = 2, 5
+
+
+def _squared(m: str) -> str:
+    each = f"range(1, {WIDTH + 1})"
+    return f"list_transform({m}, lambda r: list_transform({each}, lambda j: list_sum(list_transform({each}, lambda i: r[i] * {m}[i][j]))))"
+
+
+def _trace(m: str) -> str:
+    return "(" + " + ".join(f"{m}[{i}][{i}]" for i in range(1, WIDTH + 1)) + ")"
+
+
+def _leading(name: str, source: str) -> str:
+    """The leading eigenvector's projector, by squaring 40 times, its value and the vector."""
+    scaled = f"list_transform(m, lambda r: list_transform(r, lambda v: v / {_trace('m')}))"
+    diag = ", ".join(f"m[{i}][{i}]" for i in range(1, WIDTH + 1))
+    best = f"list_position([{diag}], list_max([{diag}]))"
+    value = f"list_sum(list_transform(range(1, {WIDTH + 1}), lambda i: list_sum(list_transform(range(1, {WIDTH + 1}), lambda j: a[i][j] * m[j][i]))))"
+    return f"""{name}_r AS (SELECT 0 AS k, qord, a, shift, a AS m FROM {source}
+  UNION ALL SELECT k + 1, qord, a, shift, {_squared('n')} FROM (SELECT k, qord, a, shift, {scaled} AS n FROM {name}_r WHERE k < 40)),
+{name}_p AS (SELECT qord, a, shift, list_transform(m, lambda r: list_transform(r, lambda v: v / {_trace('m')})) AS m FROM {name}_r WHERE k = 40),
+{name} AS (SELECT qord, a, shift, m, {value} AS lam, list_transform(m[{best}], lambda v: v / sqrt(m[{best}][{best}])) AS vec FROM {name}_p)"""
+
+
+@query(f"""WITH RECURSIVE {PANEL_S}, x AS (SELECT firm, qord, [{", ".join(f"CASE WHEN n % {m} <> 0 THEN CAST(CAST(ln(1 + {c}) AS FLOAT) AS DOUBLE) END" for c, m in (("rev", 3), ("disc", 4), ("qty", 5), ("tax", 7)))}, CAST(CAST(ln(1 + CAST(n AS DOUBLE)) AS FLOAT) AS DOUBLE)] AS f FROM panel_s),
+q AS (SELECT qord, count(*) AS rows, [{", ".join(f"avg(f[{i}])" for i in range(1, WIDTH + 1))}] AS mean FROM x GROUP BY 1),
+c AS (SELECT firm, x.qord, f, rows, mean, list_transform(f, lambda v, i: v - mean[i]) AS d FROM x JOIN q ON q.qord = x.qord),
+cov AS (SELECT qord, [{", ".join("[" + ", ".join(f"coalesce(sum(d[{i}] * d[{j}]) / count(d[{i}] * d[{j}]), 0)" for j in range(1, WIDTH + 1)) + "]" for i in range(1, WIDTH + 1))}] AS a FROM c GROUP BY 1 HAVING count(*) > {FACTORS}),
+-- a multiple of the identity makes all values positive and keeps their order
+up AS (SELECT qord, a, list_sum(list_transform(flatten(a), lambda v: abs(v))) AS shift FROM cov),
+pos AS (SELECT qord, shift, list_transform(a, lambda r, i: list_transform(r, lambda v, j: v + CASE WHEN i = j THEN shift ELSE 0 END)) AS a FROM up),
+{_leading("e1", "pos")}, rest AS (SELECT qord, shift, list_transform(a, lambda r, i: list_transform(r, lambda v, j: v - lam * m[i][j])) AS a FROM e1), {_leading("e2", "rest")},
+l AS (SELECT e1.qord, list_transform(e1.vec, lambda v: v * sqrt(greatest(e1.lam - e1.shift, 1e-8))) AS u, list_transform(e2.vec, lambda v: v * sqrt(greatest(e2.lam - e2.shift, 1e-8))) AS w FROM e1 JOIN e2 ON e2.qord = e1.qord),
+s AS (SELECT c.*, u, w, {", ".join(f"list_sum(list_transform(d, lambda v, i: CASE WHEN v IS NOT NULL THEN {e} ELSE 0 END)) / {WIDTH}{' + 0.01 / ' + str(WIDTH) if p else ''} AS {n}" for n, e, p in (("auu", "u[i] * u[i]", 1), ("auw", "u[i] * w[i]", 0), ("aww", "w[i] * w[i]", 1), ("bu", "u[i] * v", 0), ("bw", "w[i] * v", 0)))} FROM c JOIN l ON l.qord = c.qord),
+t AS (SELECT *, (aww * bu - auw * bw) / (auu * aww - auw * auw) AS fu, (auu * bw - auw * bu) / (auu * aww - auw * auw) AS fw FROM s)
+SELECT firm, qord, list_transform(f, lambda v, i: round(CAST(CAST(coalesce(v, fu * u[i] + fw * w[i] + mean[i]) AS FLOAT) AS DOUBLE), 4)) AS features FROM t
+UNION ALL SELECT firm, qord, list_transform(f, lambda v: round(v, 4)) FROM c WHERE rows <= {FACTORS}""")
 def q_impute_local_xs(spark, d):
+    # four items with holes and the size, which is always known
     p = panel_s(spark, d)
     hole = lambda c, m: F.when(F.col("n") % m != 0, F.log1p(F.col(c))).cast("float")
-    f = p.select("firm", "qord", F.lit("train").alias("split"), F.array(hole("rev", 3), hole("disc", 4), hole("qty", 5), hole("tax", 7)).alias("features"))
-    return impute.impute_features(f, 2).select("firm", "qord", F.transform("features", lambda x: F.round(x.cast("double"), 4)).alias("features"))
+    f = p.select("firm", "qord", F.lit("train").alias("split"), F.array(hole("rev", 3), hole("disc", 4), hole("qty", 5), hole("tax", 7), F.log1p(F.col("n").cast("double")).cast("float")).alias("features"))
+    return impute.impute_features(f, FACTORS).select("firm", "qord", F.transform("features", lambda x: F.round(x.cast("double"), 4)).alias("features"))
+
+
+LINEAR_ITEMS, REGIONS = ("rev", "qty"), 4
+#: Ends later than the other queries' task, so that the longest horizon has rows to fit.
+LINEAR_TASK = Task(train_end=TRAIN_END + 1, val_end=VAL_END + 1, present_in_q0=False)
 
 
 def _linear(spark, d, kind: str) -> DataFrame:
-    p = panel_s(spark, d).select("firm", "qord", *[F.log1p(F.col(i)).alias(i) for i in ("rev", "qty")])
-    c = C.calendar_arrays(C.melt(p, ("rev", "qty")), 3, 4)
-    c = c.select("firm", "qord", "item", F.col("past").alias("level"), F.array().cast("array<double>").alias("yoy"), F.col("future").alias("target")).withColumn("split", C.split_of(F.col("qord"), TASK))
-    c = C.mask_targets(c, Task(train_end=TRAIN_END, val_end=VAL_END, present_in_q0=False))
+    """All items as targets at all horizons; features are their levels, the size and the region's dummies."""
+    region = read(spark, d, "supplier").join(read(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("firm"), F.col("n_regionkey").alias("industry_id"))
+    p = panel_s(spark, d).select("firm", "qord", F.log1p(F.col("n").cast("double")).alias("size"), *[F.log1p(F.col(i)).alias(i) for i in LINEAR_ITEMS])
+    c = C.calendar_arrays(C.melt(p, LINEAR_ITEMS), 3, HORIZON).join(p.select("firm", "qord", "size"), ["firm", "qord"]).join(region, "firm")
+    c = c.select("firm", "qord", "size", "industry_id", "item", F.col("past").alias("level"), F.array().cast("array<double>").alias("yoy"), F.col("future").alias("target")).withColumn("split", C.split_of(F.col("qord"), LINEAR_TASK))
+    c = C.mask_targets(c, LINEAR_TASK)
     part = lambda s: c.where(F.col("split") == s).drop("split")
-    out = baselines.linear_family(part("train"), part("val"), part("test"), ("rev", "qty"), ("rev",), (1, 4), kind, alphas=(0.01, 0.1), l1_ratios=(0.5, 1.0))
+    out = baselines.linear_family(part("train"), part("val"), part("test"), LINEAR_ITEMS, LINEAR_ITEMS, range(1, HORIZON + 1), kind, industries=REGIONS)
     return out.withColumn("prediction", F.round("prediction", 4))
 
 
-@query()
+N_X = 2 + 4 * len(LINEAR_ITEMS) + REGIONS
+
+
+@query(f"""WITH RECURSIVE {PANEL_S}, p AS (SELECT firm, qord, ln(1 + rev) AS rev, ln(1 + qty) AS qty, ln(1 + CAST(n AS DOUBLE)) AS size, n_regionkey AS g FROM panel_s JOIN supplier ON s_suppkey = firm JOIN nation ON n_nationkey = s_nationkey),
+x AS (SELECT p.firm, p.qord, [1.0, p.rev, a.rev, b.rev, c.rev, p.qty, a.qty, b.qty, c.qty, p.size, {", ".join(f"CAST(p.g = {i} AS DOUBLE)" for i in range(REGIONS))}] AS x, CASE WHEN p.qord // 4 <= {LINEAR_TASK.train_end} THEN {LINEAR_TASK.train_end * 4 + 3} WHEN p.qord // 4 <= {LINEAR_TASK.val_end} THEN {LINEAR_TASK.val_end * 4 + 3} END AS e
+  FROM p JOIN p a ON a.firm = p.firm AND a.qord = p.qord - 1 JOIN p b ON b.firm = p.firm AND b.qord = p.qord - 2 JOIN p c ON c.firm = p.firm AND c.qord = p.qord - 3),
+h AS (SELECT unnest(range(1, {HORIZON + 1})) AS horizon), t AS (SELECT unnest({list(LINEAR_ITEMS)}) AS target),
+y AS (SELECT x.*, target, horizon, CASE target WHEN 'rev' THEN f.rev ELSE f.qty END AS y FROM x, h, t JOIN p f ON true WHERE f.firm = x.firm AND f.qord = x.qord + horizon AND x.qord + horizon <= x.e),
+i AS (SELECT unnest(range(1, {N_X + 1})) AS i), j AS (SELECT unnest(range(1, {N_X + 2})) AS j),
+g AS (SELECT target, horizon, i, j, sum(x[i] * CASE WHEN j <= {N_X} THEN x[j] ELSE y END) AS v FROM y, i, j GROUP BY ALL),
+m0 AS (SELECT target, horizon, list(r ORDER BY i) AS m FROM (SELECT target, horizon, i, list(v ORDER BY j) AS r FROM g GROUP BY ALL) GROUP BY ALL),
+s AS (SELECT 1 AS k, target, horizon, m FROM m0
+  UNION ALL SELECT k + 1, target, horizon, list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda v: v / m[k][k]) ELSE list_transform(r, lambda v, j: v - r[k] * m[k][j] / m[k][k]) END) FROM s WHERE k <= {N_X}),
+w AS (SELECT target, horizon, list_transform(m, lambda r: r[{N_X + 1}]) AS w FROM s WHERE k = {N_X + 1})
+SELECT firm, target, qord AS origin, CAST(horizon AS BIGINT) AS horizon, round(list_sum(list_transform(x, lambda v, i: v * w[i])), 4) AS prediction FROM x, w WHERE e IS NULL""")
 def q_linear(spark, d):
     return _linear(spark, d, "linear")
 
