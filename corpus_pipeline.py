@@ -25,13 +25,22 @@ def _same(docs: DataFrame, marks: DataFrame):
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go. The model is fitted on these docs' labels."""
+    """Documents that the toxicity model rejects go. The model is fitted on these docs' labels.
+
+    Null and empty texts have no hits and stay; repeated rows are judged alike; without
+    labels of both classes nothing goes; an empty table gives none.
+    """
     scored = toxicity.score_toxicity(docs, common.table(spark, sf_dir, "labels"))
     return scored.where("predicted = 0").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: that of the least id; of repeated rows, one."""
+    """One document of each group stays: that of the least id; of repeated rows, one.
+
+    Groups hang on pairs whose five-word shingles have a similarity of 0.8 or more. Null, empty and
+    wordless texts are one group; shorter texts than a shingle are one shingle; a group of null ids
+    only keeps one row; an empty table gives none.
+    """
     groups = simhash.similar_documents(docs, shingle=SHINGLE, similarity=SIMILARITY)
     named = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     marks = named.groupBy("root").agg(F.first("component_id").alias("m_doc_id"), F.min("key").alias("m_key")).drop("root")
@@ -40,14 +49,22 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark window go."""
+    """Documents with a benchmark window go.
+
+    Null and empty texts have no words and stay; repeated rows are judged alike; items without id or
+    words have no windows; an empty table gives none.
+    """
     found = decontaminate.decontaminate(docs, common.table(spark, sf_dir, "benchmark")).where("contaminated")
     marks = found.select(F.col("doc_id").alias("m_doc_id"), F.col("key").alias("m_key"))
     return _with_key(docs).join(marks, _same(docs, marks), "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's mixture takes it: not at all, once or twice."""
+    """Each document as often as its source's mixture takes it: not at all, once or twice.
+
+    Null and empty texts have no words and are taken once; a null source is a source of its
+    own; repeated rows are separate documents, whose copies add up; an empty table gives none.
+    """
     mixed = mixing.mix(docs)
     # repeated rows are separate documents there; their copies add up here
     marks = mixed.groupBy("doc_id", "key").agg(F.sum("copies").alias("copies"), F.count("*").alias("m_rows")).where("copies > 0")
@@ -58,7 +75,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of the mixture; per row what they hold: doc_id, start, n_tokens, ids_crc32."""
+    """Token files of the mixture; per row what they hold: doc_id, start, n_tokens, ids_crc32.
+
+    A null or empty text has the end id alone; null ids come first; repeated rows are written
+    as often as they are there; an empty table gives no file and no row.
+    """
     return token_files.token_digest(spark, docs)
 
 

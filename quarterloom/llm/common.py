@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -20,21 +21,30 @@ _fallback_dir: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Only a session that sets none (tests, local mode) gets a temporary folder,
-    which is shared there because everything runs on one machine.
+    Only a session on one machine may go without (tests, local mode): it gets a temporary
+    folder. On a cluster a local folder would be another one on every machine, so a
+    session there that names none is an error.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _fallback_dir:
         _fallback_dir[app] = "file://" + tempfile.mkdtemp(prefix="quarterloom-")
     return _fallback_dir[app]
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark)}/quarterloom/{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    """A path nobody else uses, inside the shared folder."""
-    return f"{shared_dir(spark)}/quarterloom/{tag}-{uuid.uuid4().hex}"
+    """A path nobody else uses, inside this application's folder."""
+    return f"{own_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -49,15 +59,33 @@ def materialize(df: DataFrame, tag: str, partition_by: list[str] | None = None)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quarterloom_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete materialised tables from which nothing will be read any more."""
+    for t in tables:
+        path = getattr(t, "_quarterloom_path", None)
+        if path:
+            _delete(t.sparkSession, path)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let go of finished shuffles: their files stay until both collectors have run."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def drop_materialized(spark: SparkSession) -> None:
-    """Delete every table this library left in the shared folder."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quarterloom")
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(path, True)
+    """Delete every table this application left in the shared folder."""
+    _delete(spark, own_dir(spark))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,15 +1,15 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-Method: every window of the test items is looked up through its rarest term. The
-training texts are tokenised once into a stored table; term frequencies over all
-documents tell each window's rarest term; the index holds the postings of just
-those terms (document, position, and the words around it); a window's remaining
-terms are intersected with that context at their offsets, the second rarest first. Only
-true occurrences survive, so the result is exact: phrases by default, or, with
-``slop``, unordered proximity matches.
-
-Only DataFrame operations. The one broadcast is the set of rarest terms, whose size is
-counted first; beyond MAX_BROADCAST terms the same join shuffles.
+Method: the training texts are tokenised once into a stored table, and term frequencies over
+all documents order each test window's terms by rarity. The index holds the postings (term,
+document, position) of every window's RAREST rarest terms. A window's lists are intersected
+from the rarest on: a posting of the first term gives a start, and the start stays if the
+next term's list has the document at the start plus that term's offset. What passes all lists is compared with
+the text once, so results are exact: phrases by default, or, with ``slop``, unordered
+proximity matches around the rarest term's postings.
+
+Only DataFrame operations. Side tables follow the size of the test items; they are broadcast
+only after their bytes are summed and are below MAX_BROADCAST, and shuffled otherwise.
 """
 
 from __future__ import annotations
@@ -22,7 +22,10 @@ from .common import ascii_lower, materialize, words_of
 #: Anything but digits, lower-case letters and characters beyond ASCII separates words.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
-MAX_BROADCAST = 200_000
+#: Terms of a window whose posting lists are intersected.
+RAREST = 3
+#: Bytes of a table that may be broadcast.
+MAX_BROADCAST = 32 << 20
 
 
 def item_words(text: Column) -> Column:
@@ -31,13 +34,68 @@ def item_words(text: Column) -> Column:
 
 def windows_of(items: DataFrame, width: int) -> DataFrame:
     """``item_id, win`` (array): each ``width`` consecutive words, or all of a shorter item."""
-    w = items.select(F.col("item_id").cast("string").alias("item_id"), item_words(F.col("text")).alias("words")).where(F.size("words") > 0)
+    w = items.where("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), item_words(F.col("text")).alias("words")).where(F.size("words") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("words") - (width - 1), F.lit(1)))
     return w.withColumn("i", F.explode(starts)).select("item_id", F.slice("words", F.col("i"), width).alias("win"))
 
 
-def _small(df: DataFrame, n: int) -> DataFrame:
-    return F.broadcast(df) if n <= MAX_BROADCAST else df
+def _small(df: DataFrame, text: Column) -> DataFrame:
+    """``df``, broadcast if its rows with their ``text`` are proven to be few bytes."""
+    size = df.agg(F.sum(F.octet_length(text) + 64)).first()[0] or 0
+    return F.broadcast(df) if size <= MAX_BROADCAST else df
+
+
+def _terms(wins: DataFrame, tokens: DataFrame) -> DataFrame:
+    """``win_id, off, term, rank``: the terms of windows that can occur, by rarity from 1.
+
+    Rarity is the number of occurrences in all documents. A term that no document has
+    settles its windows: they occur nowhere.
+    """
+    vocabulary = materialize(wins.select(F.explode("win").alias("term")).distinct(), "decon-terms")
+    spread = tokens.select(F.explode("words").alias("term"))
+    counted = materialize(spread.join(_small(vocabulary, F.col("term")), "term").groupBy("term").agg(F.count("*").alias("df")), "decon-counts")
+    at = wins.select("win_id", F.posexplode("win").alias("off", "term")).join(_small(counted, F.col("term")), "term", "left")
+    by_rarity = Window.partitionBy("win_id").orderBy("df", "term", "off")
+    ranked = at.withColumns({"rank": F.row_number().over(by_rarity), "dead": F.max(F.col("df").isNull()).over(Window.partitionBy("win_id"))})
+    return materialize(ranked.where("not dead").select("win_id", "off", "term", "rank"), "decon-ranked")
+
+
+def _same_doc(a: DataFrame, b: DataFrame) -> Column:
+    return (a["key"] == b["p_key"]) & a["doc_id"].eqNullSafe(b["p_doc_id"])
+
+
+def posting_lists(tokens: DataFrame, terms: DataFrame) -> DataFrame:
+    """``term, doc_id, key, pos`` of the given terms, once each: the index."""
+    spread = tokens.select("doc_id", "key", F.posexplode("words").alias("pos", "term"))
+    return spread.join(_small(terms, F.col("term")), "term").select("term", "doc_id", "key", "pos").distinct()
+
+
+def intersect(index: DataFrame, ranked: DataFrame, lists: int = RAREST) -> DataFrame:
+    """``win_id, doc_id, key, start`` that the rarest ``lists`` terms of a window agree on.
+
+    A window of fewer terms is looked up by those it has.
+    """
+    seeds = ranked.where(F.col("rank") <= lists).groupBy("win_id").agg(F.sort_array(F.collect_list(F.struct("rank", "term", "off"))).alias("r"))
+    r = lambda k: F.coalesce(F.get("r", F.lit(k)), F.get("r", F.lit(0)))
+    seeds = materialize(seeds.select("win_id", *[c for k in range(lists) for c in (r(k)["term"].alias(f"term_{k}"), r(k)["off"].alias(f"off_{k}"))]), "decon-seeds")
+    first = index.join(_small(seeds, F.concat_ws("", *[f"term_{k}" for k in range(lists)])), F.col("term") == F.col("term_0"))
+    found = first.withColumn("start", F.col("pos") - F.col("off_0")).where("start >= 0").drop("term", "pos")
+    for k in range(1, lists):
+        other = index.select(F.col("term").alias("p_term"), F.col("doc_id").alias("p_doc_id"), F.col("key").alias("p_key"), F.col("pos").alias("p_pos"))
+        found = found.join(other, _same_doc(found, other) & (found[f"term_{k}"] == other["p_term"]) & (found["start"] + found[f"off_{k}"] == other["p_pos"]), "left_semi")
+    return found.select("win_id", "doc_id", "key", "start")
+
+
+def _with_words(tokens: DataFrame, places: DataFrame, before: int, after: int) -> DataFrame:
+    """``places`` (``win_id, doc_id, key, start``) with ``part``, the words from ``start - before`` to ``start + after``.
+
+    Each document's places are gathered first, so its words cross the network once.
+    """
+    gathered = places.groupBy(F.col("doc_id").alias("p_doc_id"), F.col("key").alias("p_key")).agg(F.collect_set(F.struct("win_id", "start")).alias("c"))
+    own = tokens.join(gathered, _same_doc(tokens, gathered)).select("doc_id", "key", "words", F.explode("c").alias("c"))
+    lead = F.least(F.col("c.start"), F.lit(before))
+    part = F.slice("words", F.col("c.start") - lead + 1, lead + after)
+    return own.select("doc_id", "key", F.col("c.win_id").alias("win_id"), F.col("c.start").alias("start"), lead.alias("lead"), part.alias("part"))
 
 
 def occurrences(docs: DataFrame, items: DataFrame, width: int = WINDOW, slop: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -51,46 +109,23 @@ def occurrences(docs: DataFrame, items: DataFrame, width: int = WINDOW, slop: in
     tokens = materialize(tokens, "decon-words")
     wins = windows_of(items, width).groupBy("win").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     wins = materialize(wins.withColumn("win_id", F.xxhash64("win")), "decon-windows")
-    vocabulary = materialize(wins.select(F.explode("win").alias("term")).distinct(), "decon-terms")
-    spread = tokens.select(F.explode("words").alias("term"))
-    counted = spread.join(_small(vocabulary, vocabulary.count()), "term").groupBy("term").agg(F.count("*").alias("df"))
-    # each window's terms by rarity; a term no document has settles the window: it occurs nowhere
-    at = wins.select("win", "win_id", "items", F.posexplode("win").alias("off", "term")).join(counted, "term", "left")
-    at = at.withColumn("df", F.coalesce("df", F.lit(0)))
-    by_rarity = Window.partitionBy("win", "win_id").orderBy("df", "term", "off")
-    ranked = at.withColumn("rank", F.row_number().over(by_rarity)).where("rank <= 2")
-    seeds = ranked.groupBy("win", "win_id").agg(
-        F.first("items").alias("items"),
-        F.min("df").alias("least"),
-        F.max(F.when(F.col("rank") == 1, F.col("term"))).alias("seed"),
-        F.max(F.when(F.col("rank") == 1, F.col("off"))).alias("seed_off"),
-        F.max(F.when(F.col("rank") == 2, F.col("term"))).alias("next"),
-        F.max(F.when(F.col("rank") == 2, F.col("off"))).alias("next_off"),
-    )
-    seeds = materialize(seeds.where("least > 0"), "decon-seeds")
-    terms = materialize(seeds.select(F.col("seed").alias("term")).distinct(), "decon-seed-terms")
-    reach = width - 1 + (slop or 0)
-    postings = tokens.select("doc_id", "key", "words", F.posexplode("words").alias("pos", "term")).join(_small(terms, terms.count()), "term")
-    left = F.least(F.col("pos"), F.lit(reach))
-    postings = postings.select("term", "doc_id", "key", "pos", left.alias("left"), F.slice("words", F.col("pos") - left + 1, left + reach + 1).alias("around"))
-    postings = materialize(postings, "decon-index")
-    probe = seeds.select("win", "items", "seed", "seed_off", "next", "next_off")
+    ranked = _terms(wins, tokens)
+    lists = RAREST if slop is None else 1
+    index = materialize(posting_lists(tokens, ranked.where(F.col("rank") <= lists).select("term").distinct()), "decon-index")
     size = F.size("win")
+    known = _small(wins, F.concat_ws("", F.flatten(F.array("win", "items"))))
     if slop is None:
-        # offsets line up: the second rarest term first, then the whole window
-        first = F.col("left") - F.col("seed_off") + 1
-        hit = (F.col("term") == F.col("seed")) & (first >= 1)
-        hit &= F.col("next").isNull() | (F.get("around", F.col("left") + F.col("next_off") - F.col("seed_off")) == F.col("next"))
-        hit &= F.slice("around", F.greatest(first, F.lit(1)), size) == F.col("win")
-        found = postings.join(probe, hit).select("doc_id", "key", (F.col("pos") - F.col("seed_off")).alias("start"), size.alias("len"), "items")
-        return tokens, found
-    found = postings.join(probe, F.col("term") == F.col("seed"))
-    spans = F.transform(F.sequence(F.lit(0), size + slop - 1), lambda b: F.slice("around", F.greatest(F.col("left") - b + 1, F.lit(1)), F.least(size + slop, F.col("left") + size + slop - b)))
+        places = materialize(intersect(index, ranked, lists), "decon-places")
+        met = _with_words(tokens, places, 0, width).join(known, "win_id")
+        return tokens, met.where(F.slice("part", 1, size) == F.col("win")).select("doc_id", "key", "start", size.alias("len"), "items")
+    seeds = ranked.where("rank = 1").select(F.col("term").alias("s_term"), "win_id")
+    places = index.join(seeds, F.col("term") == F.col("s_term")).select("win_id", "doc_id", "key", F.col("pos").alias("start"))
+    found = _with_words(tokens, places, width - 1 + slop, width + slop).join(known, "win_id")
+    spans = F.transform(F.sequence(F.lit(0), size + slop - 1), lambda b: F.slice("part", F.greatest(F.col("lead") - b + 1, F.lit(1)), F.least(size + slop, F.col("lead") + size + slop - b)))
     need = lambda s: F.forall(F.array_distinct("win"), lambda t: F.size(F.filter(s, lambda x: x == t)) >= F.size(F.filter("win", lambda x: x == t)))
     first = F.array_position(F.transform(spans, lambda s: need(s)), True)
     found = found.withColumn("b", first.cast("int") - 1).where("b >= 0")
-    start = F.greatest(F.col("pos") - F.col("b"), F.lit(0))
-    return tokens, found.select("doc_id", "key", start.alias("start"), F.size(F.element_at(spans, F.col("b") + 1)).alias("len"), "items")
+    return tokens, found.select("doc_id", "key", F.greatest(F.col("start") - F.col("b"), F.lit(0)).alias("start"), F.size(F.element_at(spans, F.col("b") + 1)).alias("len"), "items")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = WINDOW, slop: int | None = None) -> DataFrame:
@@ -100,7 +135,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = WINDOW, slop:
     counts the words inside any occurrence.
 
     Defined cases: a null text has no words; a null or wordless item has no windows;
-    repeated documents are judged alike; a null item id is ignored; extra columns are
+    repeated documents are judged alike; an item without id is ignored, its windows too; extra columns are
     ignored; without documents there is no row, without items none is contaminated.
     """
     tokens, found = occurrences(docs, items, width, slop)
@@ -137,7 +172,7 @@ WITH d AS (
 ), b AS (
   SELECT CAST(item_id AS VARCHAR) AS item_id,
          list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') AS words
-  FROM benchmark
+  FROM benchmark WHERE item_id IS NOT NULL
 ), w AS (
   SELECT DISTINCT item_id, words[i:i + 9] AS win
   FROM (SELECT item_id, words, unnest(range(1, greatest(len(words) - 8, 2))) AS i FROM b WHERE len(words) > 0)

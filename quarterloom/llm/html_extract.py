@@ -1,12 +1,14 @@
 """Main-text extraction with a recurrent block labeller.
 
 Method: a page's leaf blocks, in page order, become vectors: hashed tags of their path from
-the root, hashed words, and a few shapes (length, share of linked text). A bidirectional
+the root, all its words hashed, and a few shapes (length, share of linked text). A bidirectional
 LSTM in numpy reads the whole sequence, so that each block is judged in the context of
 the document, and labels it main text or not. It is trained here, by the driver, on
 pages that this module generates with known labels (GENERATED_PAGES of them, fixed seed).
 
-Markup, scripts, styles and comments never become blocks. Each page is handled by
+Markup, scripts, styles and comments never become blocks. Other elements without text to
+read (forms' parts, drawings) are left out if they end inside their parent; one that doesn't is
+only a stray tag, and what follows it is read. Each page is handled by
 itself, in batches of similar length; nothing is shuffled.
 """
 
@@ -25,14 +27,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 GENERATED_PAGES = 1500
-TAG_DIM, WORD_DIM, SHAPE_DIM, HIDDEN = 48, 16, 6, 16
+TAG_DIM, WORD_DIM, SHAPE_DIM, HIDDEN = 48, 32, 6, 16
 DIM = TAG_DIM + WORD_DIM + SHAPE_DIM
-EPOCHS = 10
+#: Passes over the generated pages, and pages of one training step.
+EPOCHS, STEP_PAGES = 14, 32
 #: Blocks of one matrix when pages are labelled.
 BATCH_BLOCKS = 4096
 
 #: Elements that hold no text to read.
 SKIPPED = frozenset("script style noscript template head title iframe object svg math canvas select textarea button".split())
+#: Of those, the ones whose text runs to their end tag, or else to the page's end.
+RAW = frozenset(("script", "style"))
+#: And those that hold nothing but text.
+TEXT_ONLY = frozenset(("title", "textarea", "iframe"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements inside a line of text; all others end a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -46,6 +53,46 @@ _NAME = re.compile(r"</?([a-zA-Z][^\s>/]*)")
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 
 
+def skipped_to(page: str, at: int, el: str, around: set[str]) -> int | None:
+    """Where the skipped element that opens before ``at`` ends; None if it isn't closed inside its parent.
+
+    ``around`` are the open elements: the end tag of one of them, unless it belongs to an
+    element opened inside, comes too late for this one.
+    """
+    end = re.compile(rf"</{re.escape(el)}\b[^>]*>", re.I)
+    if el in RAW:
+        m = end.search(page, at)
+        return m.end() if m else len(page)
+    if el in TEXT_ONLY:
+        m = end.search(page, at)
+        again = re.compile(rf"<{re.escape(el)}\b", re.I).search(page, at, m.start()) if m else None
+        if m is None or again:
+            return None
+        closing = re.compile(r"</([a-zA-Z][^\s>/]*)")
+        return None if any(c[1].lower() in around and c[1].lower() not in INLINE for c in closing.finditer(page, at, m.start())) else m.end()
+    inside: list[str] = []
+    while (m := _TOKEN.search(page, at)) is not None:
+        at = m.end()
+        tag = m.group()
+        name = _NAME.match(tag)
+        if name is None:
+            continue
+        other = name[1].lower()
+        if tag[1] == "/":
+            if other in inside:
+                while inside.pop() != other:
+                    pass
+            elif other == el:
+                return at
+            elif other in around and other not in INLINE:
+                return None
+        elif other in RAW:
+            at = skipped_to(page, at, other, around)
+        elif other not in VOID and other not in INLINE and not tag.endswith("/>"):
+            inside.append(other)
+    return None
+
+
 class Block:
     __slots__ = ("text", "path", "linked")
 
@@ -101,12 +148,9 @@ def blocks(page: str | None) -> list[Block]:
             elif el == "p":
                 flush()
             continue
-        if el in SKIPPED and not tag.endswith("/>"):
-            end = re.compile(rf"</{re.escape(el)}\b[^>]*>", re.I).search(page, at)
-            if end is None and el in ("head", "object"):
-                continue
-            flush()
-            at = end.end() if end else n
+        if el in SKIPPED:
+            if not tag.endswith("/>"):
+                at = skipped_to(page, at, el, {s[0] for s in stack}) or at
             continue
         if el == "a":
             inline_links += 1
@@ -139,7 +183,7 @@ def vectors(bs: list[Block]) -> np.ndarray:
             x[i, _bucket("tag", tag, TAG_DIM)] += 1.0 if depth < 2 else 0.7
             for w in {w for name in names for w in re.split(r"[^a-z]+", name) if w}:
                 x[i, _bucket("name", w, TAG_DIM)] += 1.0
-        words = b.text[:400].lower().split()[:24]
+        words = b.text.lower().split()
         for w in words:
             x[i, TAG_DIM + _bucket("word", w.strip(".,;:!?()"), WORD_DIM)] += 1.0 / len(words)
         n = len(b.text)
@@ -169,53 +213,72 @@ class Labeller:
         p["wo"], p["bo"] = rng.normal(0, 0.15, (2 * HIDDEN + DIM,)), np.zeros(1)
         return Labeller(p)
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool) -> tuple[np.ndarray, list]:
+    def _stacked(self, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Input weights, recurrent weights and biases of both directions."""
+        w = np.stack([self.p["wf"], self.p["wb"]]).astype(kind)
+        return w[:, :DIM], w[:, DIM:], np.stack([self.p["cf"], self.p["cb"]]).astype(kind)
+
+    def _run(self, x: np.ndarray, mask: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
+        """Hidden states of both directions, step by step together: the second reads backwards."""
         n, steps, _ = x.shape
-        w, b = self.p[f"w{d}"].astype(x.dtype), self.p[f"c{d}"].astype(x.dtype)
-        pre = x @ w[:DIM] + b
-        h, c = np.zeros((n, HIDDEN), x.dtype), np.zeros((n, HIDDEN), x.dtype)
-        out, tape = np.zeros((n, steps, HIDDEN), x.dtype), []
-        for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-            z = pre[:, t] + h @ w[DIM:]
-            i, f, o = (_sigmoid(z[:, k * HIDDEN : (k + 1) * HIDDEN]) for k in range(3))
-            g = np.tanh(z[:, 3 * HIDDEN :])
-            m = mask[:, t, None]
+        win, rec, bias = self._stacked(x.dtype.type)
+        pre = np.stack([x @ win[0] + bias[0], x[:, ::-1] @ win[1] + bias[1]])
+        masks = np.stack([mask, mask[:, ::-1]])
+        h = c = np.zeros((2, n, HIDDEN), x.dtype)
+        out, tape = np.zeros((2, n, steps, HIDDEN), x.dtype), []
+        for t in range(steps):
+            z = pre[:, :, t] + h @ rec
+            ifo, g = _sigmoid(z[..., : 3 * HIDDEN]), np.tanh(z[..., 3 * HIDDEN :])
+            i, f, o = ifo[..., :HIDDEN], ifo[..., HIDDEN : 2 * HIDDEN], ifo[..., 2 * HIDDEN :]
+            m = masks[:, :, t, None]
             c_new = f * c + i * g
             tc = np.tanh(c_new)
             if keep:
-                tape.append((t, h, c, i, f, o, g, tc, m))
+                tape.append((h, c, i, f, o, g, tc, m))
             h, c = m * (o * tc) + (1 - m) * h, m * c_new + (1 - m) * c
-            out[:, t] = h
+            out[:, :, t] = h
         return out, tape
 
+    @staticmethod
+    def _features(out: np.ndarray, x: np.ndarray) -> np.ndarray:
+        return np.concatenate([out[0], out[1, :, ::-1], x], axis=2)
+
     def logits(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        hf, hb = self._run(x, mask, "f", False)[0], self._run(x, mask, "b", False)[0]
-        return np.concatenate([hf, hb, x], axis=2) @ self.p["wo"].astype(x.dtype) + self.p["bo"].astype(x.dtype)
+        feat = self._features(self._run(x, mask, False)[0], x)
+        return feat @ self.p["wo"].astype(x.dtype) + self.p["bo"].astype(x.dtype)
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean cross-entropy and its gradients, by back-propagation through time."""
-        (hf, tf), (hb, tb) = self._run(x, mask, "f", True), self._run(x, mask, "b", True)
-        feat = np.concatenate([hf, hb, x], axis=2)
-        p = _sigmoid(feat @ self.p["wo"] + self.p["bo"])
+        out, tape = self._run(x, mask, True)
+        feat = self._features(out, x)
+        wo = self.p["wo"].astype(x.dtype)
+        p = _sigmoid(feat @ wo + self.p["bo"].astype(x.dtype))
         total = mask.sum()
         loss = -(mask * (y * np.log(p + 1e-9) + (1 - y) * np.log(1 - p + 1e-9))).sum() / total
         e = mask * (p - y) / total
         g = {"wo": np.tensordot(e, feat, axes=([0, 1], [0, 1])), "bo": np.array([e.sum()])}
-        for d, tape, at in (("f", tf, 0), ("b", tb, HIDDEN)):
-            w = self.p[f"w{d}"]
-            gw, gb = np.zeros_like(w), np.zeros(4 * HIDDEN)
-            dh, dc = np.zeros((len(x), HIDDEN)), np.zeros((len(x), HIDDEN))
-            for t, h, c, i, f, o, gg, tc, m in reversed(tape):
-                dh = dh + e[:, t, None] * self.p["wo"][at : at + HIDDEN]
-                dhm, dcm = dh * m, dc * m
-                do = dhm * tc
-                dct = dcm + dhm * o * (1 - tc * tc)
-                dz = np.concatenate([dct * gg * i * (1 - i), dct * c * f * (1 - f), do * o * (1 - o), dct * i * (1 - gg * gg)], axis=1)
-                gw += np.concatenate([x[:, t], h], axis=1).T @ dz
-                gb += dz.sum(axis=0)
-                dh = dz @ w[DIM:].T + dh * (1 - m)
-                dc = dct * f + dc * (1 - m)
-            g[f"w{d}"], g[f"c{d}"] = gw, gb
+        _, rec, _ = self._stacked(x.dtype.type)
+        xs, errors = np.stack([x, x[:, ::-1]]), np.stack([e, e[:, ::-1]])
+        to_hidden = np.stack([wo[:HIDDEN], wo[HIDDEN : 2 * HIDDEN]])[:, None, :]
+        dzs = np.zeros((2, len(x), x.shape[1], 4 * HIDDEN), x.dtype)
+        dh = dc = np.zeros((2, len(x), HIDDEN), x.dtype)
+        grec = np.zeros_like(rec)
+        for t in range(x.shape[1] - 1, -1, -1):
+            h, c, i, f, o, gg, tc, m = tape[t]
+            dh = dh + errors[:, :, t, None] * to_hidden
+            dhm, dcm = dh * m, dc * m
+            dct = dcm + dhm * o * (1 - tc * tc)
+            dz = dzs[:, :, t]
+            dz[..., :HIDDEN] = dct * gg * i * (1 - i)
+            dz[..., HIDDEN : 2 * HIDDEN] = dct * c * f * (1 - f)
+            dz[..., 2 * HIDDEN : 3 * HIDDEN] = dhm * tc * o * (1 - o)
+            dz[..., 3 * HIDDEN :] = dct * i * (1 - gg * gg)
+            grec += h.transpose(0, 2, 1) @ dz
+            dh = dz @ rec.transpose(0, 2, 1) + dh * (1 - m)
+            dc = dct * f + dc * (1 - m)
+        for k, d in enumerate("fb"):
+            g[f"w{d}"] = np.concatenate([np.tensordot(xs[k], dzs[k], axes=([0, 1], [0, 1])), grec[k]])
+            g[f"c{d}"] = dzs[k].sum(axis=(0, 1))
         return float(loss), g
 
 
@@ -297,7 +360,7 @@ def labelled_page(rng: random.Random) -> tuple[np.ndarray, np.ndarray]:
         hit = at < len(main) and b.text == main[at] and not any(re.search(r"\b(nav|aside|form|footer|header)\b", el) for el in b.path)
         at += hit
         y.append(float(hit))
-    return vectors(bs).astype(np.float64), np.array(y)
+    return vectors(bs), np.array(y, dtype=np.float32)
 
 
 @lru_cache(maxsize=2)
@@ -305,12 +368,12 @@ def trained(pages: int = GENERATED_PAGES, seed: int = 5) -> Labeller:
     """The labeller, trained by Adam on generated pages; the same for the same arguments."""
     rng = random.Random(seed)
     data = sorted((labelled_page(rng) for _ in range(pages)), key=lambda d: len(d[0]))
-    groups = [data[i : i + 16] for i in range(0, len(data), 16)]
+    groups = [data[i : i + STEP_PAGES] for i in range(0, len(data), STEP_PAGES)]
     model = Labeller.fresh(np.random.default_rng(seed))
     m, v, step = ({k: np.zeros_like(x) for k, x in model.p.items()} for _ in range(3))
     t = 0
     for epoch in range(EPOCHS):
-        rate = 0.02 * 0.7**epoch
+        rate = 0.025 * 0.78**epoch
         rng.shuffle(groups)
         for g in groups:
             x, mask = _padded([d[0] for d in g])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from .chat_format import OP4_SQL, op4_chat_format
 from .decontaminate import OP10_SQL, op10_decontaminate
 from .html_extract import op5_html_text
-from .mixing import op9_mixing
+from .mixing import op9_mixing, op9_sql
 from .simhash import op7_simhash
 from .substring_dedup import OP3_SQL, op3_substring
 from .token_files import op8_token_ids
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_decontaminate": op10_decontaminate,
 }
-SQL = {"op1_topk": OP1_SQL, "op2_url_filter": op2_sql(), "op3_substring": OP3_SQL, "op4_chat_format": OP4_SQL, "op10_decontaminate": OP10_SQL}
+SQL = {"op1_topk": OP1_SQL, "op2_url_filter": op2_sql(), "op3_substring": OP3_SQL, "op4_chat_format": OP4_SQL, "op9_mixing": op9_sql(), "op10_decontaminate": OP10_SQL}

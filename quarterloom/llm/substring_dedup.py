@@ -4,10 +4,11 @@ Method: every window of ``window`` words selects one anchor, the k-gram with the
 in it (winnowing), so equal windows select equal anchors at equal offsets. An anchor
 is stored with the hash of its reach: all words of the windows that chose it.
 Documents meet on equal anchors (seeds). Equal reaches are repeats of full
-extent in both directions; chains of them are the maximal repeats. Where equal
+extent in both directions. Where equal
 anchors have unequal reaches, a repeat ends nearby, and it is extended word by
-word: the windows of one representative of each distinct reach are compared.
-Words inside a repeated window are removed.
+word: the windows of one representative of each distinct reach are compared. Runs that touch
+or overlap are then joined to maximal repeats: stretches of a document every window of which
+occurs elsewhere, and that no neighbouring window prolongs. Maximal repeats are removed.
 
 Cost: anchors are about 2 / (window - k + 2) of the words, and only repeats' ends are
 looked at window by window, so shuffles stay well below the texts' size. A passage in
@@ -30,10 +31,9 @@ from .common import materialize
 
 WINDOW = 35
 ANCHOR = 8
-#: Words of one vectorised slice; bounds a worker's arrays.
-SLICE = 400_000
 #: Distinct words a worker remembers the hashes of.
 CACHE = 500_000
+_REPEATS = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -168,19 +168,34 @@ def _window_rows(window: int):
     return run
 
 
+def maximal(packs: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first words, ends) of the maximal repeats of a document, from its runs of repeated windows.
+
+    Runs whose windows follow each other without a gap are one repeat; others stay apart, even
+    where their words overlap.
+    """
+    start = packs // 64
+    order = np.argsort(start, kind="stable")
+    start, last = start[order], np.maximum.accumulate((start + packs % 64)[order])
+    fresh = np.flatnonzero(np.concatenate([[True], start[1:] > last[:-1] + 1])) if len(start) else np.zeros(0, int)
+    return start[fresh], last[np.append(fresh[1:], len(start)) - 1] + window if len(start) else start
+
+
 def _removal_rows(window: int, names: list[str], with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, packs = b.column(len(names)), b.column(len(names) + 1)
-            n_words, n_removed, sha, kept = [], [], [], []
+            n_words, n_removed, sha, kept, repeats = [], [], [], [], []
             for i in range(b.num_rows):
                 words = split_words(texts[i].as_py())
                 n = len(words)
+                repeats.append([])
                 if packs[i].is_valid:
-                    pack = packs[i].values.to_numpy()
+                    first, end = maximal(packs[i].values.to_numpy(), window)
+                    repeats[-1] = [{"start": a, "length": b - a} for a, b in zip(first.tolist(), end.tolist(), strict=True)]
                     edge = np.zeros(n + 1, dtype=np.int64)
-                    np.add.at(edge, pack // 64, 1)
-                    np.add.at(edge, pack // 64 + pack % 64 + window, -1)
+                    np.add.at(edge, first, 1)
+                    np.add.at(edge, end, -1)
                     words = [words[j] for j in np.flatnonzero(np.cumsum(edge[:n]) == 0)]
                 rest = b" ".join(words)
                 n_words.append(n)
@@ -189,7 +204,8 @@ def _removal_rows(window: int, names: list[str], with_text: bool):
                 if with_text:
                     kept.append(rest.decode("utf-8", "surrogatepass"))
             cols = [b.column(i) for i in range(len(names))] + [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string())]
-            yield pa.RecordBatch.from_arrays(cols + ([pa.array(kept, pa.string())] if with_text else []), names=names + ["n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text)
+            more = [pa.array(repeats, _REPEATS), pa.array(kept, pa.string())] if with_text else []
+            yield pa.RecordBatch.from_arrays(cols + more, names=names + ["n_words", "n_removed", "kept_sha256"] + ["repeats", "kept_text"] * with_text)
 
     return run
 
@@ -224,7 +240,9 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> D
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, k: int = ANCHOR, with_text: bool = True) -> DataFrame:
-    """The documents' ``doc_id, n_words, n_removed, kept_sha256`` and, if wanted, ``kept_text``.
+    """The documents' ``doc_id, n_words, n_removed, kept_sha256`` and, if wanted, ``repeats, kept_text``.
+
+    ``repeats`` has the maximal repeats, by first word and length in words, in order.
 
     A word goes if any window of ``window`` words over it also starts elsewhere, in
     another document or the same one; all windows are judged on the input.
@@ -237,7 +255,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     packs = repeated_ranges(d, window, k).groupBy("doc_id", "key").agg(F.collect_set("pack").alias("packs"))
     packs = packs.withColumnsRenamed({"doc_id": "p_doc_id", "key": "p_key"})
     joined = d.join(packs, (F.col("key") == F.col("p_key")) & F.col("doc_id").eqNullSafe(F.col("p_doc_id")), "left").select("doc_id", "text", "packs")
-    schema = f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
+    schema = f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string" + ", repeats array<struct<start:long,length:long>>, kept_text string" * with_text
     return joined.mapInArrow(_removal_rows(window, ["doc_id"], with_text), schema)
 
 

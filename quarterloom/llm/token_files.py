@@ -43,8 +43,8 @@ HEADER = "<4sHH32s"
 HEADER_SIZE = struct.calcsize(HEADER)
 #: The sample that the dictionary is trained on: so many documents, by hash of the id.
 SAMPLE_DOCS = 2000
-#: What the dictionary sees of each of them: so many characters, and of those so many ids.
-SAMPLE_CHARS, SAMPLE_IDS = 16_384, 4096
+#: What the dictionary sees of each of them: a piece of so many ids, from a place that its hash picks in the whole text.
+SAMPLE_IDS = 4096
 DICT_BYTES = 64 * 1024
 LEVEL = 3
 #: Pieces of text whose ids a worker remembers.
@@ -222,10 +222,12 @@ def train_dictionary(docs: DataFrame, tokenizer: str, sample: int = SAMPLE_DOCS,
         enc = encoder(tokenizer)
         for b in batches:
             ids, n = enc.encode(b.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array([x[:SAMPLE_IDS].tobytes() for x in np.split(ids, np.cumsum(n)[:-1])], pa.binary())], names=["ids"])
+            at = b.column(1).to_numpy().view(np.uint64) % np.maximum(-(-n // SAMPLE_IDS), 1).astype(np.uint64)
+            pieces = [x[k * SAMPLE_IDS : (k + 1) * SAMPLE_IDS].tobytes() for x, k in zip(np.split(ids, np.cumsum(n)[:-1]), at.astype(np.int64).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.binary())], names=["ids"])
 
     hashed = docs.select("text", F.xxhash64("doc_id", "key", F.lit(8)).alias("h"), "key")
-    some = least_hashed(hashed, "h", sample, ("key",)).select(F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    some = least_hashed(hashed, "h", sample, ("key",)).select("text", F.xxhash64("key").alias("h"))
     rows = [bytes(r["ids"]) for r in some.mapInArrow(run, "ids binary").collect()]
     rows.sort()
     if len(rows) < 8:

@@ -24,16 +24,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import least_hashed, release_memory
 
 #: Bounds of the labelled sample that the model is fitted on.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 3000, 7000
-#: Bounds of the lexicon: terms, their letters, and the evidence for one.
-MAX_TERMS, MIN_LETTERS, MAX_LETTERS = 2000, 3, 12
-MIN_EVIDENCE = 20.0
+#: What a term of the lexicon has: letters, documents, evidence, and odds against clean documents.
+MIN_LETTERS, MAX_LETTERS = 3, 12
+MIN_TOXIC, MIN_EVIDENCE, MIN_ODDS = 3, 20.0, 2.5
 #: A term occurs in at most this many clean documents for each toxic one.
 MAX_CLEAN = 0.35
 #: Words on either side of a hit that are its context.
@@ -259,23 +259,23 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in part], pa.string()), pa.array([k[1] for k in part]), pa.array([counts[k][0] for k in part], pa.int64()), pa.array([counts[k][1] for k in part], pa.int64())], names=["term", "whole", "clean", "toxic"])
 
 
-def _evidence(toxic: int, clean: int, n1: int, n0: int) -> float:
+def _odds(toxic: Column, clean: Column, n1: int, n0: int) -> Column:
+    return F.log((toxic + 0.5) / (n1 + 1)) - F.log((clean + 0.5) / (n0 + 1))
+
+
+def _evidence(toxic: Column, clean: Column, n1: int, n0: int) -> Column:
     """The likelihood-ratio statistic for a term that marks toxic documents; 0 if it doesn't."""
-    if toxic * n0 <= clean * n1:
-        return 0.0
-    rows = ((toxic, clean), (n1 - toxic, n0 - clean))
-    total, g = n0 + n1, 0.0
-    for a, b in rows:
+    g = F.lit(0.0)
+    for a, b in ((toxic, clean), (n1 - toxic, n0 - clean)):
         for x, col in ((a, n1), (b, n0)):
-            if x > 0:
-                g += 2 * x * math.log(x * total / ((a + b) * col))
-    return g
+            g = g + F.when(x > 0, 2 * x * F.log(x * float(n0 + n1) / ((a + b) * col))).otherwise(0.0)
+    return F.when(toxic * n0 > clean * n1, g).otherwise(0.0)
 
 
 def choose_terms(counts: list[tuple[str, bool, int, int]], n0: int, n1: int) -> list[Term]:
-    """The lexicon from (term, whole word?, clean documents, toxic documents)."""
+    """The lexicon from all (term, whole word?, clean documents, toxic documents) with enough evidence."""
     odds = lambda t, c: math.log((t + 0.5) / (n1 + 1)) - math.log((c + 0.5) / (n0 + 1))
-    good = {(w, whole): (t, c) for w, whole, c, t in counts if odds(t, c) > 2.5 and c <= MAX_CLEAN * t and _evidence(t, c, n1, n0) >= MIN_EVIDENCE}
+    good = {(w, whole): (t, c) for w, whole, c, t in counts}
     begin = {w: tc for (w, whole), tc in good.items() if not whole}
     longer, purer = Counter(), set()
     for w, (t, c) in begin.items():
@@ -295,7 +295,7 @@ def choose_terms(counts: list[tuple[str, bool, int, int]], n0: int, n1: int) ->
         terms.append(Term(w, odds(t, c), whole, edits))
         if not whole:
             kept.append(w)
-    return sorted(terms, key=lambda t: -t.weight)[:MAX_TERMS]
+    return sorted(terms, key=lambda t: -t.weight)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0) -> tuple[float, np.ndarray]:
@@ -316,15 +316,18 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     Without both classes the lexicon is empty and every score is the bias's.
     """
-    sample = training_sample(docs, labels).persist()
+    sample, counts = training_sample(docs, labels).persist(), None
     try:
         counts = sample.mapInArrow(_count_terms, "term string, whole boolean, clean long, toxic long").groupBy("term", "whole").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-        # the lexicon's bound: at most a few times MAX_TERMS candidates reach the driver
-        rows = counts.where(f"toxic >= 3 and clean <= {MAX_CLEAN} * toxic or term = ''").orderBy(F.when(F.col("term") == "", 0).otherwise(1), F.desc("toxic"), "clean", "term").limit(20 * MAX_TERMS).collect()
-        n0, n1 = next(((r["clean"], r["toxic"]) for r in rows if r["term"] == ""), (0, 0))
+        counts = counts.persist()
+        size = counts.where("term = ''").agg(F.sum("clean"), F.sum("toxic")).first()
+        n0, n1 = size[0] or 0, size[1] or 0
         if not n0 or not n1:
             return Model()
-        terms = choose_terms([(r["term"], r["whole"], r["clean"], r["toxic"]) for r in rows if r["term"]], n0, n1)
+        # all terms with enough evidence: no more than the bounded sample has
+        toxic, clean = F.col("toxic"), F.col("clean")
+        good = counts.where((F.col("term") != "") & (toxic >= MIN_TOXIC) & (clean <= MAX_CLEAN * toxic) & (_odds(toxic, clean, n1, n0) > MIN_ODDS) & (_evidence(toxic, clean, n1, n0) >= MIN_EVIDENCE))
+        terms = choose_terms([tuple(r) for r in good.select("term", "whole", "clean", "toxic").orderBy("term", "whole").collect()], n0, n1)
         model = Model(terms)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,6 +349,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         rows = sample.mapInArrow(run, schema).drop("fuzzy").collect()
     finally:
         sample.unpersist()
+        if counts is not None:
+            counts.unpersist()
     x, y = np.array([list(r)[1:] for r in rows], dtype=float).reshape(-1, 4), np.array([r["toxic"] for r in rows], dtype=float)
     mean, sd = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
     sd[x.std(axis=0) == 0] = 1.0

@@ -5,6 +5,9 @@ regression over the buckets is trained from a small labelled URL table. The
 hash is a polynomial of code points, the trained weights are rounded to integers, so
 that scores are exact sums and independent of summation order. Scoring is one
 projection of SQL higher-order functions: no join, shuffle, UDF or Arrow.
+
+Rules up to MAX_RULES are part of the plan. Larger sets are a table: each distinct host is
+spread to its suffixes, which meet the rules by equality.
 """
 
 from __future__ import annotations
@@ -21,26 +24,34 @@ BUCKETS = 4096
 NGRAM = 4
 #: Weights are stored as integers: this many units are 1.0.
 UNITS = 1_000_000
+#: Rules that are written into the plan; more are joined.
 MAX_RULES = 1000
 
-#: The small labelled URL table: (url, 1 to block).
+#: The small labelled URL table: (url, 1 to block). Its hosts are invented for it; the supplied pages have none of them.
 LABELLED_URLS: tuple[tuple[str, int], ...] = (
-    ("http://cheap-pills.example.org/en/12", 1),
-    ("https://www.cheap-pills.example.com/shop?page=2", 1),
-    ("https://casino-win.example.net/en/4", 1),
-    ("http://m.casino-win.example.com/bonus", 1),
+    ("http://cheapest-meds.example.org/en/12", 1),
+    ("https://www.cheap-rx.example.com/shop?page=2", 1),
+    ("https://pills-shop.example.net/buy", 1),
+    ("http://m.order-pills.example.com/de/31", 1),
     ("https://online-casino.example.org/play", 1),
-    ("https://spam-farm.example.org/en/7", 1),
-    ("http://blog.spam-farm.example.net/links", 1),
-    ("https://free-bets.example.com/en/9", 1),
-    ("http://www.free-bets.example.net/odds", 1),
-    ("https://adult-x.example.com/en/3", 1),
-    ("http://m.adult-x.example.org/video", 1),
-    ("https://ads-track.example.net/en/pixel", 1),
-    ("http://ads-track.example.com/click?ref=x", 1),
-    ("https://pills-discount.example.net/buy", 1),
-    ("http://bets-bonus.example.org/win", 1),
-    ("https://click-track.example.com/redirect", 1),
+    ("http://m.casino-royal.example.com/bonus", 1),
+    ("https://casinos.example.net/fr/4", 1),
+    ("https://win-jackpot.example.com/es/8", 1),
+    ("https://spam-links.example.org/en/7", 1),
+    ("http://blog.spammers.example.net/links", 1),
+    ("https://link-farm.example.com/en/9", 1),
+    ("http://www.farm-of-links.example.net/1", 1),
+    ("https://sports-bets.example.com/odds", 1),
+    ("http://www.bets-today.example.net/en/77", 1),
+    ("http://free-spins.example.org/win", 1),
+    ("https://free-money.example.com/de/5", 1),
+    ("https://adult-chat.example.com/en/3", 1),
+    ("http://m.adults-only.example.org/video", 1),
+    ("https://x-adult.example.net/fr/41", 1),
+    ("https://ads-server.example.net/en/pixel", 1),
+    ("http://ad-tracker.example.com/click?ref=x", 1),
+    ("https://track-clicks.example.com/redirect", 1),
+    ("http://m.ads-click.example.org/es/2", 1),
     ("http://www.weather.example.org/en/today", 0),
     ("https://library.example.com/en/books/4", 0),
     ("https://blog.gardening.example.net/en/12.html", 0),
@@ -59,6 +70,8 @@ LABELLED_URLS: tuple[tuple[str, int], ...] = (
     ("http://history.example.net/es/25", 0),
     ("https://m.ontario.example.org/en/5", 0),
     ("http://there.example.com/fr/18", 0),
+    ("https://m.handles.example.com/de/2", 0),
+    ("https://www.shores.example.net/en/61", 0),
 )
 
 #: The rules of the contract: (rule, verdict); a rule is host + path.
@@ -132,31 +145,57 @@ def score_of(host: Column, path: Column, weights: Sequence[int], bias: int) -> C
     return F.aggregate(F.coalesce(buckets, F.array().cast("array<int>")), F.lit(bias).cast("long"), lambda a, g: a + F.get(table, g))
 
 
-def filter_urls(df: DataFrame, url_col: str = "url", rules: Sequence[tuple[str, str]] = RULES, labelled: Sequence[tuple[str, int]] = LABELLED_URLS) -> DataFrame:
+def _ruled_in_plan(df: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
+    rule, by_rule = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for name, verdict in sorted(reversed(rules), key=lambda r: len(r[0])):  # a longer rule wraps the shorter ones
+        host, sep, tail = name.partition("/")
+        fits = ((F.col("host") == host) | F.col("host").endswith("." + host)) & F.col("path").startswith(sep + tail)
+        rule, by_rule = F.when(fits, F.lit(name)).otherwise(rule), F.when(fits, F.lit(verdict)).otherwise(by_rule)
+    return df.withColumns({"rule": rule, "__by_rule": by_rule})
+
+
+def _ruled_by_join(df: DataFrame, rules: DataFrame) -> DataFrame:
+    """``rule`` and ``__by_rule`` from a table ``rule, verdict``.
+
+    Every distinct (host, path) once: a hot page is one row before it is spread to its
+    host's suffixes, and only suffixes with a rule are kept.
+    """
+    r = rules.where(F.col("rule").isNotNull()).withColumn("__n", F.monotonically_increasing_id())
+    r = r.select(F.substring_index("rule", "/", 1).alias("r_host"), F.expr("substr(rule, char_length(substring_index(rule, '/', 1)) + 1)").alias("r_path"), F.col("rule").alias("r_rule"), F.col("verdict").alias("r_verdict"), "__n")
+    parts = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    places = df.select("host", "path").distinct()
+    met = places.select("host", "path", F.explode(suffixes).alias("suffix")).join(r, (F.col("suffix") == F.col("r_host")) & F.col("path").startswith(F.col("r_path")))
+    best = met.groupBy("host", "path").agg(F.min_by(F.struct("r_rule", "r_verdict"), F.struct(-F.length("r_rule"), "__n")).alias("b"))
+    best = best.select(F.col("host").alias("b_host"), F.col("path").alias("b_path"), F.col("b.r_rule").alias("rule"), F.col("b.r_verdict").alias("__by_rule"))
+    return df.join(best, (F.col("host") == F.col("b_host")) & (F.col("path") == F.col("b_path")), "left").drop("b_host", "b_path")
+
+
+def filter_urls(df: DataFrame, url_col: str = "url", rules: Sequence[tuple[str, str]] | DataFrame = RULES, labelled: Sequence[tuple[str, int]] = LABELLED_URLS) -> DataFrame:
     """Add ``host, path, rule, score, verdict`` to every row.
 
     A rule is host + path and fits its host and all subdomains if the url's path
     starts with the rule's; the longest fitting rule decides (ties: the first).
-    Elsewhere the model does: a positive score means block. The rules are part of
-    the plan, so there may be MAX_RULES at most; more raise ValueError.
+    Elsewhere the model does: a positive score means block. ``rules`` are pairs, or a table
+    ``rule, verdict``; a table, and more than MAX_RULES pairs, are joined.
 
     Defined cases: a null url or one without ``://`` has empty host and path, fits no
     rule that names a host, and is judged by the model; long urls are read whole;
     repeated rows get equal verdicts; columns named like an added one are replaced;
     an empty table gives none.
     """
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} fit into a plan")
     weights, bias = train(labelled)
     url = F.col(url_col)
-    df = df.withColumns({"host": host_of(url), "path": path_of(url)})
-    rule, by_rule = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for name, verdict in sorted(rules, key=lambda r: len(r[0])):  # a longer rule wraps the shorter ones
-        host, sep, tail = name.partition("/")
-        fits = ((F.col("host") == host) | F.col("host").endswith("." + host)) & F.col("path").startswith(sep + tail)
-        rule, by_rule = F.when(fits, F.lit(name)).otherwise(rule), F.when(fits, F.lit(verdict)).otherwise(by_rule)
-    df = df.withColumns({"rule": rule, "score": score_of(F.col("host"), F.col("path"), weights, bias)})
-    return df.withColumn("verdict", F.coalesce(by_rule, F.when(F.col("score") > 0, F.lit("block")).otherwise(F.lit("allow"))))
+    df = df.withColumns({"host": host_of(url), "path": path_of(url)}).drop("rule", "score", "verdict")
+    if isinstance(rules, DataFrame):
+        df = _ruled_by_join(df, rules)
+    elif len(rules) > MAX_RULES:
+        table = df.sparkSession.createDataFrame(list(rules), "rule string, verdict string")
+        df = _ruled_by_join(df, table.coalesce(1))
+    else:
+        df = _ruled_in_plan(df, rules)
+    df = df.withColumn("score", score_of(F.col("host"), F.col("path"), weights, bias))
+    return df.withColumn("verdict", F.coalesce(F.col("__by_rule"), F.when(F.col("score") > 0, F.lit("block")).otherwise(F.lit("allow")))).drop("__by_rule")
 
 
 def op2_url_filter(spark, sf_dir: str) -> DataFrame:
