@@ -27,52 +27,32 @@ UNITS = 1_000_000
 #: Rules that are written into the plan; more are joined.
 MAX_RULES = 1000
 
-#: The small labelled URL table: (url, 1 to block). Its hosts are invented for it; the supplied pages have none of them.
-LABELLED_URLS: tuple[tuple[str, int], ...] = (
-    ("http://cheapest-meds.example.org/en/12", 1),
-    ("https://www.cheap-rx.example.com/shop?page=2", 1),
-    ("https://pills-shop.example.net/buy", 1),
-    ("http://m.order-pills.example.com/de/31", 1),
-    ("https://online-casino.example.org/play", 1),
-    ("http://m.casino-royal.example.com/bonus", 1),
-    ("https://casinos.example.net/fr/4", 1),
-    ("https://win-jackpot.example.com/es/8", 1),
-    ("https://spam-links.example.org/en/7", 1),
-    ("http://blog.spammers.example.net/links", 1),
-    ("https://link-farm.example.com/en/9", 1),
-    ("http://www.farm-of-links.example.net/1", 1),
-    ("https://sports-bets.example.com/odds", 1),
-    ("http://www.bets-today.example.net/en/77", 1),
-    ("http://free-spins.example.org/win", 1),
-    ("https://free-money.example.com/de/5", 1),
-    ("https://adult-chat.example.com/en/3", 1),
-    ("http://m.adults-only.example.org/video", 1),
-    ("https://x-adult.example.net/fr/41", 1),
-    ("https://ads-server.example.net/en/pixel", 1),
-    ("http://ad-tracker.example.com/click?ref=x", 1),
-    ("https://track-clicks.example.com/redirect", 1),
-    ("http://m.ads-click.example.org/es/2", 1),
-    ("http://www.weather.example.org/en/today", 0),
-    ("https://library.example.com/en/books/4", 0),
-    ("https://blog.gardening.example.net/en/12.html", 0),
-    ("http://m.news.example.org/fr/825?page=2", 0),
-    ("https://university.example.com/de/351", 0),
-    ("https://museum.example.net/es/533/", 0),
-    ("https://www.theatre.example.com/en/148.html", 0),
-    ("http://station.example.org/en/453#top", 0),
-    ("https://thinking.example.com/en/671", 0),
-    ("http://heather.example.net/en/369", 0),
-    ("https://blog.nation.example.org/fr/978", 0),
-    ("https://recipes.example.com/en/86", 0),
-    ("http://www.maps.example.net/en/960", 0),
-    ("https://docs.example.org/en/api/index.html", 0),
-    ("https://science.example.com/de/770", 0),
-    ("http://history.example.net/es/25", 0),
-    ("https://m.ontario.example.org/en/5", 0),
-    ("http://there.example.com/fr/18", 0),
-    ("https://m.handles.example.com/de/2", 0),
-    ("https://www.shores.example.net/en/61", 0),
-)
+#: Names of the small labelled table, invented for it: no host of the supplied pages is among them.
+BAD_NAMES = (
+    "cheapest-meds cheap-rx pills-shop order-pills online-casino casino-royal casinos win-jackpot winners spam-links spammers link-farm farm-links "
+    "casino-bonus adult-films sports-bets bets-today free-spins free-money adult-chat adults-only x-adult ads-server ads-click ad-tracker track-clicks"
+).split()
+GOOD_NAMES = (
+    "weather library gardening news university museum theatre station thinking heather nation recipes maps docs science history ontario there handles shores "
+    "tenth eighth seventh math myths length strength thirst others inner island lantern estate reading indian edition ardent oration tired stored sharing "
+    "rather whither mother hinted resting entry andes latin soothing north rhythm thousand youth within health rehearse"
+).split()
+_PLACES = ("", "www.", "m.", "blog.")
+_ENDS = ("com", "net", "org")
+_PATHS = ("/en/7", "/de/31", "/fr/825", "/es/533/", "/en/148.html", "/de/671", "/fr/12.html", "/es/9", "/en/play", "/en/today", "")
+
+
+def _labelled() -> tuple[tuple[str, int], ...]:
+    """Every name as two URLs; both classes get the same places, ends and paths in turn."""
+    out = []
+    for y, names in ((1, BAD_NAMES), (0, GOOD_NAMES)):
+        for i, name in enumerate(n for n in names for _ in range(2)):
+            out.append((f"http://{_PLACES[i % 4]}{name}.example.{_ENDS[i % 3]}{_PATHS[i % 11]}", y))
+    return tuple(out)
+
+
+#: The small labelled URL table: (url, 1 to block).
+LABELLED_URLS: tuple[tuple[str, int], ...] = _labelled()
 
 #: The rules of the contract: (rule, verdict); a rule is host + path.
 RULES: tuple[tuple[str, str], ...] = (
@@ -136,13 +116,13 @@ def score_of(host: Column, path: Column, weights: Sequence[int], bias: int) -> C
     """Bias plus the integer weights of the distinct n-gram buckets of host and path."""
     text = F.concat(F.lit("^"), host, F.lit(" "), path, F.lit("$"))
     cp = F.transform(F.split(text, ""), F.ascii)
-    grams = F.transform(
-        F.sequence(F.lit(0), F.size(cp) - NGRAM),
-        lambda i: F.pmod(sum((F.get(cp, i + d) * F.lit(31 ** (NGRAM - 1 - d)) for d in range(NGRAM)), F.lit(0).cast("long")), F.lit(BUCKETS)).cast("int"),
-    )
+    # neighbours side by side: the code points are made once for each place in a gram, not once a gram
+    n = F.greatest(F.size(cp) - (NGRAM - 1), F.lit(0))
+    beside = F.arrays_zip(*[F.slice(cp, d + 1, n) for d in range(NGRAM)])
+    gram = lambda x: sum((x[str(d)] * F.lit(31 ** (NGRAM - 1 - d)) for d in range(NGRAM)), F.lit(0).cast("long"))
+    grams = F.transform(beside, lambda x: F.pmod(gram(x), F.lit(BUCKETS)).cast("int"))
     table = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<bigint>")
-    buckets = F.array_distinct(F.when(F.size(cp) >= NGRAM, grams))
-    return F.aggregate(F.coalesce(buckets, F.array().cast("array<int>")), F.lit(bias).cast("long"), lambda a, g: a + F.get(table, g))
+    return F.aggregate(F.array_distinct(grams), F.lit(bias).cast("long"), lambda a, g: a + F.get(table, g))
 
 
 def _ruled_in_plan(df: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
@@ -162,8 +142,9 @@ def _ruled_by_join(df: DataFrame, rules: DataFrame) -> DataFrame:
     """
     r = rules.where(F.col("rule").isNotNull()).withColumn("__n", F.monotonically_increasing_id())
     r = r.select(F.substring_index("rule", "/", 1).alias("r_host"), F.expr("substr(rule, char_length(substring_index(rule, '/', 1)) + 1)").alias("r_path"), F.col("rule").alias("r_rule"), F.col("verdict").alias("r_verdict"), "__n")
-    parts = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    # only suffixes of so many labels as a rule has can meet one
+    most = r.agg(F.max(F.size(F.split("r_host", r"\.")))).first()[0] or 1
+    suffixes = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(most)), lambda k: F.call_function("substring_index", F.col("host"), F.lit("."), -k)))
     places = df.select("host", "path").distinct()
     met = places.select("host", "path", F.explode(suffixes).alias("suffix")).join(r, (F.col("suffix") == F.col("r_host")) & F.col("path").startswith(F.col("r_path")))
     best = met.groupBy("host", "path").agg(F.min_by(F.struct("r_rule", "r_verdict"), F.struct(-F.length("r_rule"), "__n")).alias("b"))
