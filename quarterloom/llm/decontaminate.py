@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize, words_of
+from .common import ascii_lower, materialize, release, tidy, words_of
 
 #: Anything but digits, lower-case letters and characters beyond ASCII separates words.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -65,9 +65,9 @@ def _same_doc(a: DataFrame, b: DataFrame) -> Column:
 
 
 def posting_lists(tokens: DataFrame, terms: DataFrame) -> DataFrame:
-    """``term, doc_id, key, pos`` of the given terms, once each: the index."""
+    """``term, doc_id, key, pos`` of the given terms: the index. Rows repeated in full repeat their postings."""
     spread = tokens.select("doc_id", "key", F.posexplode("words").alias("pos", "term"))
-    return spread.join(_small(terms, F.col("term")), "term").select("term", "doc_id", "key", "pos").distinct()
+    return spread.join(_small(terms, F.col("term")), "term").select("term", "doc_id", "key", "pos")
 
 
 def intersect(index: DataFrame, ranked: DataFrame, lists: int = RAREST) -> DataFrame:
@@ -116,6 +116,8 @@ def occurrences(docs: DataFrame, items: DataFrame, width: int = WINDOW, slop: in
     known = _small(wins, F.concat_ws("", F.flatten(F.array("win", "items"))))
     if slop is None:
         places = materialize(intersect(index, ranked, lists), "decon-places")
+        release(index)
+        tidy(docs.sparkSession)
         met = _with_words(tokens, places, 0, width).join(known, "win_id")
         return tokens, met.where(F.slice("part", 1, size) == F.col("win")).select("doc_id", "key", "start", size.alias("len"), "items")
     seeds = ranked.where("rank = 1").select(F.col("term").alias("s_term"), "win_id")
