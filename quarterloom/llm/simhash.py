@@ -45,10 +45,11 @@ ORDER_DOCS, COMMON = 20_000, 1 << 16
 FILTER_BITS = 1 << 22
 #: What a row in a shuffle costs, in comparisons of two fingerprints.
 ROW_COST = 100
-#: Signature words of a shingle set, and the differing bits beyond which a pair isn't verified. A bit
-#: differs with a probability of at most 0.19 at a similarity of 0.8 (0.15 but for tiny sets): 48 of
-#: 256 with a deviation of 6.2, so that a similar pair is beyond with a probability below 1e-13.
-SIGNATURE, MOST_BITS = 4, 96
+#: Signature words of a shingle set, and the differing bits beyond which a pair isn't verified, for sets of
+#: SMALL_SET shingles at least and for smaller ones. At a similarity of 0.8 a bit differs with a
+#: probability of at most 0.155 (39 of 256, deviation 5.8), or 0.19 for tiny sets (49, 6.3): a
+#: similar pair is beyond with a probability below 1e-8 (1e-6 for tiny sets).
+SIGNATURE, MOST_BITS, MOST_BITS_SMALL, SMALL_SET = 4, 72, 80, 20
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
 
@@ -510,10 +511,11 @@ def met(cell: np.ndarray, node: np.ndarray) -> Iterator[list[np.ndarray]]:
     yield [cell[keep], node[keep]]
 
 
-def candidate_pairs(cell: np.ndarray, node: np.ndarray, n: np.ndarray, root: np.ndarray, *signed: np.ndarray, similarity: float, star: bool) -> Iterator[list[np.ndarray]]:
+def candidate_pairs(cell: np.ndarray, node: np.ndarray, n: np.ndarray, root: np.ndarray, *signed: np.ndarray, similarity: float, star: bool | str) -> Iterator[list[np.ndarray]]:
     """``u, v`` of a cell that have different roots, and sizes and signatures that allow the similarity.
 
-    With ``star`` only the cell's first node meets the others. Else all do: of each part
+    With ``star`` only one node of a cell meets the others: the least, or, if ``star`` is "any", one
+    that a hash of node and cell picks, so that cells of the same nodes have different ones. Else all do: of each part
     of a cell (equal roots) but the largest, the rows meet those of larger parts only.
     """
 
@@ -523,7 +525,7 @@ def candidate_pairs(cell: np.ndarray, node: np.ndarray, n: np.ndarray, root: np.
         ok = np.flatnonzero((root[i] != root[j]) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9))
         if words:
             far = sum(np.bitwise_count(w[i[ok]] ^ w[j[ok]]).astype(np.int16) for w in words)
-            ok = ok[far <= MOST_BITS]
+            ok = ok[far <= np.where(np.minimum(n[i[ok]], n[j[ok]]) < SMALL_SET, MOST_BITS_SMALL, MOST_BITS)]
         u, v = np.minimum(node[i[ok]], node[j[ok]]), np.maximum(node[i[ok]], node[j[ok]])
         order = np.lexsort((v, u))
         u, v = u[order], v[order]
@@ -532,7 +534,14 @@ def candidate_pairs(cell: np.ndarray, node: np.ndarray, n: np.ndarray, root: np.
 
     starts, length = _bounds(cell)
     if star:
-        yield fit(np.repeat(starts, length), np.arange(len(cell)))
+        centre = starts
+        if star == "any":
+            h = (node ^ cell).view(np.uint64) * np.uint64(_MIX[0])
+            h ^= h >> np.uint64(31)
+            h *= np.uint64(_MIX[1])
+            least = np.flatnonzero(h == np.repeat(np.minimum.reduceat(h, starts), length))
+            centre = least[np.searchsorted(least, starts)]
+        yield fit(np.repeat(centre, length), np.arange(len(cell)))
         return
     mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
     small = np.repeat(mixed & (length <= 32), length)
@@ -595,9 +604,9 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     The similarity is the Jaccard similarity of the sets of word shingles, exact up to
     collisions of 62-bit hashes; every link is verified on whole sets. Candidates come from
-    three rounds, each among nodes that are not in one component yet: fingerprints within
+    four rounds, each among nodes that are not in one component yet: fingerprints within
     ``tau`` bits (the generalised pigeonhole); then, of documents that share a shingle of their
-    prefixes, each cell's least node with the others; then all of them. ``root`` names a component
+    prefixes, each cell's least node with the others, then any one, then all of them. ``root`` names a component
     even where all its ids are null. Cases as in ``near_duplicates``.
     """
     spark = docs.sparkSession
@@ -613,7 +622,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     tidy(spark)
     proposed = materialize(links(nodes.select("node", F.col(SIGNED[0]).alias("fp")), tau), "shingle-pairs")
     found = [_verified(proposed, text, nodes, shingle, similarity)]
-    for star in (True, False):
+    for star in ("least", "any", False):
         tidy(spark)
         roots = materialize(components(_union(found)).select(F.col("node").alias("r_node"), "root"), "shingle-roots")
         sized = nodes.join(roots, F.col("node") == F.col("r_node"), "left").select(F.col("node").alias("s_node"), "n", F.coalesce("root", "node").alias("root"), *SIGNED)

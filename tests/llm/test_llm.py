@@ -565,6 +565,15 @@ def test_similar_documents_keep_pairs_below_the_similarity_apart(spark):
     assert got == {i: min(i, 120) for i in range(124)}
 
 
+def test_any_star_picks_other_centres_in_other_cells():
+    node = np.tile(np.arange(40), 30)
+    cell = np.repeat(np.arange(30) * 7919, 40)
+    one = np.ones(len(node), dtype=np.int64)
+    found = [p for us, vs in simhash.candidate_pairs(cell, node, one, node, similarity=0.8, star="any") for p in zip(us.tolist(), vs.tolist())]
+    seen = Counter(x for p in set(found) for x in p)
+    assert len(found) <= 30 * 39 and len([x for x, k in seen.items() if k >= 39]) > 10
+
+
 @pytest.mark.parametrize("star", [True, False])
 def test_candidate_pairs_are_those_of_different_roots_and_fitting_sizes(star):
     rng = np.random.default_rng(5)
