@@ -23,7 +23,7 @@ from .common import ascii_lower, materialize, release, tidy, words_of
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 #: Terms of a window whose posting lists are intersected.
-RAREST = 3
+RAREST = 2
 #: Bytes of a table that may be broadcast.
 MAX_BROADCAST = 32 << 20
 
@@ -41,8 +41,11 @@ def windows_of(items: DataFrame, width: int) -> DataFrame:
 
 def _small(df: DataFrame, text: Column) -> DataFrame:
     """``df``, broadcast if its rows with their ``text`` are proven to be few bytes."""
-    size = df.agg(F.sum(F.octet_length(text) + 64)).first()[0] or 0
-    return F.broadcast(df) if size <= MAX_BROADCAST else df
+    return _few(df, F.octet_length(text) + 64)
+
+
+def _few(df: DataFrame, size: Column) -> DataFrame:
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= MAX_BROADCAST else df
 
 
 def _terms(wins: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -89,10 +92,12 @@ def intersect(index: DataFrame, ranked: DataFrame, lists: int = RAREST) -> DataF
 def _with_words(tokens: DataFrame, places: DataFrame, before: int, after: int) -> DataFrame:
     """``places`` (``win_id, doc_id, key, start``) with ``part``, the words from ``start - before`` to ``start + after``.
 
-    Each document's places are gathered first, so its words cross the network once.
+    Each document's places are gathered first. If those are few, the words stay where they
+    are; else each document's words cross the network once.
     """
     gathered = places.groupBy(F.col("doc_id").alias("p_doc_id"), F.col("key").alias("p_key")).agg(F.collect_set(F.struct("win_id", "start")).alias("c"))
-    own = tokens.join(gathered, _same_doc(tokens, gathered)).select("doc_id", "key", "words", F.explode("c").alias("c"))
+    gathered = materialize(gathered, "decon-gathered")
+    own = tokens.join(_few(gathered, 48 * F.size("c") + 64), _same_doc(tokens, gathered)).select("doc_id", "key", "words", F.explode("c").alias("c"))
     lead = F.least(F.col("c.start"), F.lit(before))
     part = F.slice("words", F.col("c.start") - lead + 1, lead + after)
     return own.select("doc_id", "key", F.col("c.win_id").alias("win_id"), F.col("c.start").alias("start"), lead.alias("lead"), part.alias("part"))
