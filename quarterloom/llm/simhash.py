@@ -41,6 +41,8 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 BLOCK, PROBES = 512, 4096
 #: About so many documents' shingles are counted for the order of rarity, and the shingles put last in it.
 ORDER_DOCS, COMMON = 20_000, 1 << 16
+#: Sets, and shingles of these, of one block of documents that may be similar.
+PART_ROWS, PART_SHINGLES = 512, 1 << 18
 #: Bits of the filter by which only candidates' texts are cut again.
 FILTER_BITS = 1 << 22
 #: What a row in a shuffle costs, in comparisons of two fingerprints.
@@ -484,7 +486,7 @@ def _by_cell(rows: DataFrame, make, schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
         for b in batches:
-            now = [c.to_numpy() for c in b.columns]
+            now = [c.to_numpy(zero_copy_only=False) for c in b.columns]
             now = [np.concatenate(x) for x in zip(rest, now, strict=True)] if rest is not None else now
             cut = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
             rest = [x[cut:] for x in now]
@@ -511,11 +513,10 @@ def met(cell: np.ndarray, node: np.ndarray) -> Iterator[list[np.ndarray]]:
     yield [cell[keep], node[keep]]
 
 
-def candidate_pairs(cell: np.ndarray, node: np.ndarray, n: np.ndarray, root: np.ndarray, *signed: np.ndarray, similarity: float, star: bool | str) -> Iterator[list[np.ndarray]]:
+def candidate_pairs(cell: np.ndarray, node: np.ndarray, n: np.ndarray, root: np.ndarray, *signed: np.ndarray, similarity: float, star: bool) -> Iterator[list[np.ndarray]]:
     """``u, v`` of a cell that have different roots, and sizes and signatures that allow the similarity.
 
-    With ``star`` only one node of a cell meets the others: the least, or, if ``star`` is "any", one
-    that a hash of node and cell picks, so that cells of the same nodes have different ones. Else all do: of each part
+    With ``star`` only the cell's first node meets the others. Else all do: of each part
     of a cell (equal roots) but the largest, the rows meet those of larger parts only.
     """
 
@@ -534,14 +535,7 @@ def candidate_pairs(cell: np.ndarray, node: np.ndarray, n: np.ndarray, root: np.
 
     starts, length = _bounds(cell)
     if star:
-        centre = starts
-        if star == "any":
-            h = (node ^ cell).view(np.uint64) * np.uint64(_MIX[0])
-            h ^= h >> np.uint64(31)
-            h *= np.uint64(_MIX[1])
-            least = np.flatnonzero(h == np.repeat(np.minimum.reduceat(h, starts), length))
-            centre = least[np.searchsorted(least, starts)]
-        yield fit(np.repeat(centre, length), np.arange(len(cell)))
+        yield fit(np.repeat(starts, length), np.arange(len(cell)))
         return
     mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
     small = np.repeat(mixed & (length <= 32), length)
@@ -567,6 +561,60 @@ def candidate_pairs(cell: np.ndarray, node: np.ndarray, n: np.ndarray, root: np.
             yield fit(order[np.repeat(i, k - after[i])], order[np.concatenate([np.arange(after[y], k) for y in i])])
 
 
+def candidate_forest(*columns: np.ndarray, similarity: float) -> Iterator[list[np.ndarray]]:
+    """A spanning forest of the candidate pairs, those of all rows of the cells: as many rows as nodes at most."""
+    us, vs, held = [], [], 0
+    for u, v in candidate_pairs(*columns, similarity=similarity, star=False):
+        us.append(u)
+        vs.append(v)
+        held += len(u)
+        if held > 500_000:
+            u, v = _forest(np.concatenate(us), np.concatenate(vs))
+            us, vs, held = [u], [v], len(u)
+    if held:
+        yield list(_forest(np.concatenate(us), np.concatenate(vs)))
+
+
+def similar_sets(cell: np.ndarray, node: np.ndarray, tag: np.ndarray, root: np.ndarray, x: np.ndarray, *signed: np.ndarray, similarity: float) -> Iterator[list[np.ndarray]]:
+    """A spanning forest of the pairs of different roots whose sets ``x`` have the similarity.
+
+    Rows of tag 0 meet each other, those of tag 1 meet those of tag 2.
+    """
+    words = [w.view(np.uint64) for w in signed]
+    size = np.fromiter(map(len, x), dtype=np.int64, count=len(x))
+    us, vs = [], []
+    for s, k in zip(*_bounds(cell), strict=True):
+        if k < 2:
+            continue
+        first = np.concatenate([[0], np.cumsum(size[s : s + k])])
+        number = np.unique(np.concatenate(x[s : s + k]), return_inverse=True)[1]
+        here = np.zeros(int(number.max()) + 1, dtype=bool)
+        for a, b in ((0, 0), (1, 2)):
+            right = np.flatnonzero(tag[s : s + k] == b) + s
+            for i in np.flatnonzero(tag[s : s + k] == a) + s:
+                j = right[right > i] if a == b else right
+                j = j[root[j] != root[i]]
+                small, large = np.minimum(size[j], size[i]), np.maximum(size[j], size[i])
+                ok = small >= similarity * large - 1e-9
+                if words:
+                    far = sum(np.bitwise_count(w[j] ^ w[i]).astype(np.int16) for w in words)
+                    ok &= far <= np.where(small < SMALL_SET, MOST_BITS_SMALL, MOST_BITS)
+                j = j[ok]
+                if not len(j):
+                    continue
+                own = number[first[i - s] : first[i - s + 1]]
+                here[own] = True
+                ends = np.cumsum(size[j])
+                at = np.arange(ends[-1]) + np.repeat(first[j - s] - (ends - size[j]), size[j])
+                both = np.add.reduceat(here[number[at]], ends - size[j], dtype=np.int64)
+                here[own] = False
+                j = j[both / (size[j] + size[i] - both) >= similarity]
+                us.append(np.full(len(j), node[i]))
+                vs.append(node[j])
+    if sum(map(len, us)):
+        yield list(_forest(np.concatenate(us), np.concatenate(vs)))
+
+
 def _sets_of(d: DataFrame, needed: DataFrame, shingle: int) -> DataFrame:
     """``node, x``: all shingles of the needed nodes (``node, key``, the key of one of its documents)."""
     slot = F.pmod("key", F.lit(FILTER_BITS))
@@ -599,14 +647,37 @@ def _verified(pairs: DataFrame, d: DataFrame, nodes: DataFrame, shingle: int, si
     return out
 
 
+def _verified_in_parts(forest: DataFrame, d: DataFrame, sized: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links of the similarity between nodes of different roots, for all candidate pairs that ``forest`` spans.
+
+    Both nodes of a candidate pair are in one component of the forest, a part. A part is cut into blocks by
+    hash, of PART_ROWS sets and PART_SHINGLES shingles on average at most; a cell is a block or two blocks,
+    and compares its sets itself, so that no candidate pair becomes a row.
+    """
+    found = components(forest)
+    parts = materialize(found.union(found.select("root", "root")).distinct().select(F.col("node").alias("p_node"), F.col("root").alias("part")), "shingle-parts")
+    members = materialize(sized.join(parts, F.col("s_node") == F.col("p_node")).select(F.col("s_node").alias("m_node"), "key", "part", "n", "root", *SIGNED), "shingle-members")
+    sets = _sets_of(d, members.select(F.col("m_node").alias("node"), "key"), shingle)
+    blocks = F.greatest(F.ceil(F.count("*") / PART_ROWS), F.ceil(F.sum("n") / PART_SHINGLES))
+    size = members.groupBy("part").agg(blocks.alias("nb")).withColumnRenamed("part", "s_part")
+    dealt = members.join(size, F.col("part") == F.col("s_part")).withColumn("a", F.pmod(F.xxhash64("m_node"), F.col("nb")))
+    dealt = dealt.join(sets, F.col("m_node") == F.col("node"))
+    dealt = dealt.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
+    tag = F.when(F.col("a") == F.col("b"), 0).when(F.col("a") < F.col("b"), 1).otherwise(2)
+    rows = dealt.select(F.xxhash64("part", F.least("a", "b"), F.greatest("a", "b")).alias("cell"), "node", tag.alias("tag"), "root", "x", *SIGNED)
+    out = materialize(_by_cell(rows, lambda *c: similar_sets(*c, similarity=similarity), "u long, v long"), "shingle-links")
+    release(forest, parts, members, sets)
+    return out
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, tau: int = 3) -> DataFrame:
     """``doc_id, key, root, component_id``: components over all pairs of at least that similarity.
 
     The similarity is the Jaccard similarity of the sets of word shingles, exact up to
     collisions of 62-bit hashes; every link is verified on whole sets. Candidates come from
-    four rounds, each among nodes that are not in one component yet: fingerprints within
+    three rounds, each among nodes that are not in one component yet: fingerprints within
     ``tau`` bits (the generalised pigeonhole); then, of documents that share a shingle of their
-    prefixes, each cell's least node with the others, then any one, then all of them. ``root`` names a component
+    prefixes, each cell's least node with the others, then all of them, which meet in blocks. ``root`` names a component
     even where all its ids are null. Cases as in ``near_duplicates``.
     """
     spark = docs.sparkSession
@@ -622,13 +693,17 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     tidy(spark)
     proposed = materialize(links(nodes.select("node", F.col(SIGNED[0]).alias("fp")), tau), "shingle-pairs")
     found = [_verified(proposed, text, nodes, shingle, similarity)]
-    for star in ("least", "any", False):
+    for star in (True, False):
         tidy(spark)
         roots = materialize(components(_union(found)).select(F.col("node").alias("r_node"), "root"), "shingle-roots")
-        sized = nodes.join(roots, F.col("node") == F.col("r_node"), "left").select(F.col("node").alias("s_node"), "n", F.coalesce("root", "node").alias("root"), *SIGNED)
-        named = cells.join(sized, F.col("node") == F.col("s_node")).select("cell", "node", "n", "root", *SIGNED)
-        pairs = _by_cell(named, lambda *x, star=star: candidate_pairs(*x, similarity=similarity, star=star), "u long, v long")
-        found.append(_verified(materialize(pairs.distinct(), "shingle-pairs"), text, nodes, shingle, similarity))
+        sized = nodes.join(roots, F.col("node") == F.col("r_node"), "left").select(F.col("node").alias("s_node"), "key", "n", F.coalesce("root", "node").alias("root"), *SIGNED)
+        named = cells.join(sized.drop("key"), F.col("node") == F.col("s_node")).select("cell", "node", "n", "root", *SIGNED)
+        if star:
+            pairs = _by_cell(named, lambda *x: candidate_pairs(*x, similarity=similarity, star=True), "u long, v long")
+            found.append(_verified(materialize(pairs.distinct(), "shingle-pairs"), text, nodes, shingle, similarity))
+        else:
+            forest = _by_cell(named, lambda *x: candidate_forest(*x, similarity=similarity), "u long, v long")
+            found.append(_verified_in_parts(materialize(forest.distinct(), "shingle-forest"), text, sized, shingle, similarity))
         release(roots)
     release(cells, nodes)
     return _components_of(d, _union(found)).select("doc_id", "key", "root", "component_id")

@@ -565,13 +565,56 @@ def test_similar_documents_keep_pairs_below_the_similarity_apart(spark):
     assert got == {i: min(i, 120) for i in range(124)}
 
 
-def test_any_star_picks_other_centres_in_other_cells():
-    node = np.tile(np.arange(40), 30)
-    cell = np.repeat(np.arange(30) * 7919, 40)
-    one = np.ones(len(node), dtype=np.int64)
-    found = [p for us, vs in simhash.candidate_pairs(cell, node, one, node, similarity=0.8, star="any") for p in zip(us.tolist(), vs.tolist())]
-    seen = Counter(x for p in set(found) for x in p)
-    assert len(found) <= 30 * 39 and len([x for x, k in seen.items() if k >= 39]) > 10
+def least_reachable(nodes, pairs):
+    found = {frozenset(p) for p in pairs}
+    return brute_components(list(nodes), lambda a, b: frozenset((a, b)) in found)
+
+
+def test_candidate_forest_joins_what_candidate_pairs_join():
+    rng = np.random.default_rng(11)
+    cell = np.sort(rng.integers(0, 30, 600))
+    node, n = rng.integers(0, 90, 600), rng.integers(5, 60, 600)
+    pairs = [p for us, vs in simhash.candidate_pairs(cell, node, n, node, similarity=0.8, star=False) for p in zip(us.tolist(), vs.tolist())]
+    forest = [p for us, vs in simhash.candidate_forest(cell, node, n, node, similarity=0.8) for p in zip(us.tolist(), vs.tolist())]
+    assert len(forest) < 90 < len(pairs)
+    assert least_reachable(range(90), forest) == least_reachable(range(90), pairs)
+
+
+def test_similar_sets_are_those_of_brute_force():
+    rng = np.random.default_rng(12)
+    base = rng.integers(0, 10**9, (4, 40))
+    x = np.empty(120, dtype=object)
+    for i in range(120):
+        x[i] = np.unique(np.concatenate([rng.choice(base[i % 4], int(rng.integers(30, 41)), replace=False), rng.integers(0, 10**9, int(rng.integers(0, 5)))]))
+    cell, node, tag, root = np.repeat([3, 8], 60), np.arange(120), np.tile([0, 1, 2], 40), np.arange(120) // 2
+    got = [p for us, vs in simhash.similar_sets(cell, node, tag, root, x, similarity=0.8) for p in zip(us.tolist(), vs.tolist())]
+    want = []
+    for i in range(120):
+        for j in range(i + 1, 120):
+            if cell[i] == cell[j] and root[i] != root[j] and {tag[i], tag[j]} in ({0}, {1, 2}):
+                both = len(set(x[i].tolist()) & set(x[j].tolist()))
+                if both / (len(x[i]) + len(x[j]) - both) >= 0.8:
+                    want.append((i, j))
+    assert len(want) > 50
+    assert least_reachable(range(120), got) == least_reachable(range(120), want)
+
+
+def test_similar_documents_of_one_part_in_many_blocks(spark, monkeypatch):
+    """Near copies below the similarity of their first, but not of each other, over blocks of four."""
+    monkeypatch.setattr(simhash, "PART_ROWS", 4)
+    rng = np.random.default_rng(13)
+    base = [f"w{k}" for k in rng.integers(0, 10**6, 100)]
+    texts = []
+    for i in range(60):
+        words = list(base)
+        for at in rng.choice(100, int(rng.integers(1, 5)), replace=False):
+            words[at] = f"v{i}x{at}"
+        texts.append(" ".join(words))
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    near = [(i, j) for i in range(60) for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
+    assert 20 < len(near) < 1700
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs(spark, texts)).collect()}
+    assert got == least_reachable(range(60), near)
 
 
 @pytest.mark.parametrize("star", [True, False])
