@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,9 +79,30 @@ def release(*tables: DataFrame) -> None:
 
 
 def tidy(spark: SparkSession) -> None:
-    """Let go of finished shuffles: their files stay until both collectors have run."""
+    """Let go of finished shuffles, whose files stay until both collectors have run, and of the driver's freed memory."""
     gc.collect()
     spark._jvm.System.gc()
+    _trim_driver(spark)
+    release_memory()
+
+
+def _trim_driver(spark: SparkSession) -> None:
+    """Give the native memory that the driver's JVM has freed back; malloc keeps it in the arenas of its threads.
+
+    A JVM without that command keeps it.
+    """
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    kinds = gateway.new_array(jvm.java.lang.Class, 4)
+    for i, name in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+        kinds[i] = jvm.java.lang.Class.forName(name)
+    values = gateway.new_array(jvm.java.lang.Object, 4)
+    values[0], values[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    try:
+        # through the interface: the server's own class is not exported
+        invoke = jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethod("invoke", kinds)
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), values)
+    except Py4JError:
+        pass
 
 
 def drop_materialized(spark: SparkSession) -> None:

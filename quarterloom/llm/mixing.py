@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, words_of
+from .common import materialize, tidy, words_of
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -92,6 +92,7 @@ def balance_rates(histogram: DataFrame, rounds: int = NEWTON_ROUNDS, cap: float
         s = s.withColumns({"new_lo": lo, "new_hi": hi}).withColumn("new", F.when((step >= F.col("new_lo")) & (step <= F.col("new_hi")), step).otherwise(F.sinh((F.asinh("new_lo") + F.asinh("new_hi")) / 2)))
         s = s.withColumn("gap", F.when(F.col("done"), 0.0).otherwise(F.abs(F.col("got") - F.col("target")) / F.greatest("target", F.lit(1))))
         state = materialize(s.select("source", "target", "source_size", "scale", F.when(F.col("gap") <= TOLERANCE, F.col("lam")).otherwise(F.col("new")).alias("lam"), F.col("new_lo").alias("lo"), F.col("new_hi").alias("hi"), "done", "gap"), "mix-state")
+        tidy(histogram.sparkSession)
         if not (state.agg(F.max("gap")).first()[0] or 0.0) > TOLERANCE:
             break
     else:

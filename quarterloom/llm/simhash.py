@@ -374,6 +374,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = large.join(least, F.col("u") == F.col("n"))
         older, e = e, materialize(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select(F.col("n").alias("u"), F.col("m").alias("v"))).distinct(), "cc")
         release(older, large)
+        tidy(edges.sparkSession)
         state = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v") % 1000003)).first())
         if state == before:
             break
